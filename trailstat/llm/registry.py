@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import exact_dedup, quality, sharding
 
-_QUERIES = (quality.op1_quality_rules, sharding.op5_jump_shards)
-_ORACLES = (quality.ORACLE,)
+_QUERIES = (quality.op1_quality_rules, exact_dedup.op2_stream_dedup, sharding.op5_jump_shards)
+_ORACLES = (quality.ORACLE, exact_dedup.ORACLE)
 
 
 def queries() -> dict:

@@ -66,19 +66,3 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
 
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 16)
-
-
-def _jump_sql(n: int) -> str:
-    """The loop above as a recursive query; the key is multiplied in 128 bits and cut to 64."""
-    return f"""
-SELECT doc_id, arg_max(b, step) AS shard FROM (
-  WITH RECURSIVE walk(doc_id, key, b, j, step) AS (
-    SELECT doc_id, CAST(doc_id AS UHUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 0 FROM (SELECT DISTINCT doc_id FROM documents)
-    UNION ALL
-    SELECT doc_id, k, j, CAST(floor(CAST(j + 1 AS DOUBLE) * (2147483648.0::DOUBLE / CAST((k >> 33) + 1 AS DOUBLE))) AS BIGINT), step + 1
-    FROM (SELECT doc_id, j, step, ((key * 2862933555777941757::UHUGEINT) + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS k FROM walk WHERE j < {n})
-  ) SELECT doc_id, b, step FROM walk WHERE step > 0) GROUP BY doc_id"""
-
-
-# DuckDB has no crc32: the table of the polynomial is made by a recursive query, and bytes are folded with it.
-ORACLE = {}
