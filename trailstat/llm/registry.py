@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, neardup, quality, sharding
+from . import exact_dedup, mixing, neardup, quality, sharding
 
-_QUERIES = (quality.op1_quality_rules, exact_dedup.op2_stream_dedup, sharding.op5_jump_shards, neardup.op9_minhash_join)
+_QUERIES = (quality.op1_quality_rules, exact_dedup.op2_stream_dedup, sharding.op5_jump_shards, mixing.op6_pfair_mixing, neardup.op9_minhash_join)
 _ORACLES = (quality.ORACLE, exact_dedup.ORACLE)
 
 
