@@ -15,9 +15,16 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, discard, documents, new_path, relation_paths, spool
 
+STORE = "spark.sql.streaming.stateStore."
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Where a row of a plain Parquet table lies.
+PLACE = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+#: Places of dropped rows up to this many are sent to all executors (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
 def normalised(text: Column) -> Column:
     """Null as empty; each run of the six spaces as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
@@ -28,8 +35,9 @@ def sha256(text: Column) -> Column:
 
 
 @contextmanager
-def _setting(spark: SparkSession, **values: str):
-    keys = {k.replace("__", "."): v for k, v in values.items()}
+def _rocksdb(spark: SparkSession):
+    """The disk-backed state store."""
+    keys = {STORE + "providerClass": ROCKSDB}
     old = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
@@ -51,14 +59,14 @@ def update_state(digests: DataFrame, state_path: str, files_per_trigger: int = 1
     stream = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("file"), F.col("row"))
     kept = stream.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
-    with _setting(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    with _rocksdb(spark):
         query = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_path).trigger(availableNow=True).start()
         query.awaitTermination()
 
 
 def read_state(spark: SparkSession, state_path: str) -> DataFrame:
     """The state as a table: digest, first (no_id, doc_id, file, row), n."""
-    with _setting(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    with _rocksdb(spark):
         state = spark.read.format("statestore").option("path", state_path).load()
     value = state.schema["value"].dataType.names
     return state.select(F.col("key.digest").alias("digest"), F.col(f"value.`{value[0]}`").alias("first"), F.col(f"value.`{value[1]}`").alias("n"))
@@ -73,11 +81,26 @@ def exact_dedup(docs: DataFrame, digest=sha256, files_per_trigger: int = 10_000)
     very long texts are read whole; other columns are ignored. ``digest`` may be any function of the
     normalised text: full bytes decide.
     """
-    spark = docs.sparkSession
-    own = None
     if not relation_paths(docs):
-        docs = own = spool(docs.select("doc_id", "text"), "dedup-docs")
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+        docs = spool(docs.select("doc_id", "text"), "dedup-docs")
+    return _decided(docs, digest, files_per_trigger).drop("file", "row")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, as they came."""
+    columns = docs.columns
+    if not relation_paths(docs):
+        docs = spool(docs, "dedup-docs")
+    goes = spool(_decided(docs, sha256, 10_000).filter("NOT kept").select("file", "row"), "dedup-goes")
+    if goes.count() <= BROADCAST_ROWS:
+        goes = F.broadcast(goes)
+    placed = docs.select(*columns, *PLACE)
+    return placed.join(goes.toDF("_file", "_row"), ["_file", "_row"], "left_anti").select(*columns)
+
+
+def _decided(docs: DataFrame, digest, files_per_trigger: int) -> DataFrame:
+    spark = docs.sparkSession
+    place = [PLACE[0].alias("file"), PLACE[1].alias("row")]
     text = normalised(F.col("text"))
     digests = spool(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *place, text.alias("t")).select("doc_id", "file", "row", digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("text_sha256")), "dedup-digests")
     state_path = new_path(spark, "dedup-state")
@@ -86,7 +109,7 @@ def exact_dedup(docs: DataFrame, digest=sha256, files_per_trigger: int = 10_000)
 
     placed = digests.join(groups, "digest")
     stays = F.col("file").eqNullSafe(F.col("first.file")) & F.col("row").eqNullSafe(F.col("first.row"))
-    result = placed.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), stays.alias("kept"), "text_sha256", "digest")
+    result = placed.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), stays.alias("kept"), "text_sha256", "file", "row", "digest")
 
     # Full bytes of every hit against the text at the kept locator.
     copies = placed.filter("n > 1").select("doc_id", "file", "row", "digest", "text_sha256", stays.alias("stays"))
@@ -94,7 +117,7 @@ def exact_dedup(docs: DataFrame, digest=sha256, files_per_trigger: int = 10_000)
     copies = spool(texts.join(copies, ["file", "row"]), "dedup-copies")
     kept = copies.filter("stays").select("digest", F.col("t").alias("kept_t"))
     unequal = spool(copies.filter("NOT stays").join(kept, "digest").filter(~F.col("t").eqNullSafe(F.col("kept_t"))).select("digest").distinct(), "dedup-unequal")
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "file", "row"]
     if unequal.isEmpty():
         for table in (copies, unequal):
             discard(table)
@@ -104,7 +127,7 @@ def exact_dedup(docs: DataFrame, digest=sha256, files_per_trigger: int = 10_000)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("file"), F.col("row"))
     exact = mixed.groupBy("text_sha256", "t").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
     resolved = mixed.select("doc_id", "file", "row", "text_sha256", "t").join(exact, ["text_sha256", "t"])
-    resolved = resolved.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), stays.alias("kept"), "text_sha256")
+    resolved = resolved.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), stays.alias("kept"), "text_sha256", "file", "row")
     return result.join(unequal, "digest", "left_anti").select(*columns).unionByName(resolved)
 
 

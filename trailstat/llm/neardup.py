@@ -246,5 +246,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def unlike_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id ``near_dedup`` keeps, as they came; rows without an id stay."""
+    columns = docs.columns
+    goes = spool(near_dedup(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").select(F.col("doc_id").alias("_id")), "near-goes")
+    if goes.count() <= BROADCAST_IDS:
+        goes = F.broadcast(goes)
+    return docs.join(goes, F.col("doc_id").cast("long") == F.col("_id"), "left_anti").select(*columns)
+
+
 def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))

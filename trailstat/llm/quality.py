@@ -64,15 +64,25 @@ def _repeated_words(words: str) -> str:
               aggregate(transform(q, (p, i) -> CASE WHEN i = size(q) - 1 THEN 3 ELSE least(3, q[least(i + 1, size(q) - 1)] - p) END), 0L, (a, x) -> a + x))[0])[0] END)[0])[0]) END"""
 
 
-def with_base(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and the base counts; see ``quality_cascade`` for what each counts."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def with_base(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, text (null: empty) and the base counts; see ``quality_cascade`` for what each counts.
+
+    ``whole``: also the row as it came, as the struct _row.
+    """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *row)
     body = F.btrim(F.col("text"), F.lit(SPACES))
-    base = base.withColumn("_words", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE_RUN)))
-    base = base.withColumn("_lines", F.filter(F.split(F.col("text"), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+    # The row number keeps the optimiser from moving a filter below this step, which would split the text again for every window.
+    base = base.select(
+        "*",
+        F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE_RUN)).alias("_words"),
+        F.filter(F.split(F.col("text"), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("_lines"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
     return base.select(
         "doc_id",
         "text",
+        *(["_row", "_at"] if whole else []),
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -113,7 +123,7 @@ def rule_order(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int
 
 
 def quality_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, order: Sequence[Rule] | None = None) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, rejected_by (the base, or the first rule that rejects), kept.
+    """One row per document: doc_id, the base counts, base_failed, kept, rejected_by (the base, or the first rule that rejects).
 
     Words are runs of characters other than space and U+0009 to U+000D. word_chars: code points in
     words. n_symbols: characters of ``#*$%&|<>``. n_dup_lines: lines with a word that equal an earlier
@@ -121,21 +131,25 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, order: Seque
     A null or empty text has no words and so fails the base; a very long one is read whole; repeated
     rows are judged alike, each on its own; an empty table gives no rows; other columns are ignored.
     """
+    return _judged(docs, rules, order).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+
+
+def accepted_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``docs`` that ``quality_cascade`` keeps, as they came."""
+    return _judged(docs, rules, None, whole=True).filter("rejected_by IS NULL AND _at >= 0").select("_row.*")
+
+
+def _judged(docs: DataFrame, rules: Sequence[Rule], order: Sequence[Rule] | None, whole: bool = False) -> DataFrame:
     order = list(order) if order is not None else [x[0] for x in rule_order(docs, rules)]
     failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words")
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for rule in order:
         verdict = verdict.when(F.expr(rule.rejects), F.lit(rule.name))
-    return (
-        with_base(docs)
-        .withColumn("base_failed", failed)
-        .withColumn("rejected_by", verdict)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
-    )
+    return with_base(docs, whole).withColumn("base_failed", failed).withColumn("rejected_by", verdict)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_cascade(documents(spark, sf_dir))
+    return quality_cascade(documents(spark, sf_dir)).drop("rejected_by")
 
 
 def _oracle() -> str:

@@ -35,6 +35,8 @@ def _byte_codes(lower: bool) -> np.ndarray:
 
 
 _CODES = {lower: _byte_codes(lower) for lower in (False, True)}
+#: For segments that hold spaces.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -49,6 +51,21 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table
 
 
+def segment_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray = _BYTES) -> np.ndarray:
+    """64-bit hash of each segment; bytes between segments must have code 0."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        to = max(at + 1, int(np.searchsorted(start, low + _WINDOW)))
+        high = int(end[to - 1])
+        values = codes[data[low:high]] * _power_table(_BASE, high - low)[: high - low]
+        local = start[at:to] - low
+        out[at:to] = np.add.reduceat(values, local) * _power_table(_INVERSE, high - low)[local]
+        at = to
+    return mix(out ^ ((end - start).astype(np.uint64) * np.uint64(0x94D049BB133111EB)))
+
+
 class Words:
     """The words (runs of bytes other than the six spaces) of a batch of texts.
 
@@ -84,19 +101,7 @@ class Words:
         A polynomial over random byte codes modulo 2**64, then mixed with the length. Unlike words of
         fewer than 1,024 bytes meet with a chance of about 2**-64 a pair.
         """
-        out = np.empty(len(self), np.uint64)
-        codes, n = _CODES[lower], len(self)
-        at = 0
-        while at < n:
-            low = int(self.start[at])
-            to = max(at + 1, int(np.searchsorted(self.start, low + _WINDOW)))
-            high = int(self.end[to - 1])
-            values = codes[self.data[low:high]] * _power_table(_BASE, high - low)[: high - low]
-            local = self.start[at:to] - low
-            sums = np.add.reduceat(values, local)
-            out[at:to] = sums * _power_table(_INVERSE, high - low)[local]
-            at = to
-        return mix(out ^ ((self.end - self.start).astype(np.uint64) * np.uint64(0x94D049BB133111EB)))
+        return segment_hashes(self.data, self.start, self.end, _CODES[lower])
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
