@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, neardup, packing, quality, sharding
+from . import exact_dedup, langid, mixing, neardup, packing, quality, sharding
 
-_QUERIES = (quality.op1_quality_rules, exact_dedup.op2_stream_dedup, sharding.op5_jump_shards, mixing.op6_pfair_mixing, packing.op7_nnls_packing, neardup.op9_minhash_join)
+_QUERIES = (quality.op1_quality_rules, exact_dedup.op2_stream_dedup, langid.op4_mixture_languages, sharding.op5_jump_shards, mixing.op6_pfair_mixing, packing.op7_nnls_packing, neardup.op9_minhash_join)
 _ORACLES = (quality.ORACLE, exact_dedup.ORACLE)
 
 
