@@ -36,8 +36,8 @@ def sha256(text: Column) -> Column:
 
 @contextmanager
 def _rocksdb(spark: SparkSession):
-    """The disk-backed state store."""
-    keys = {STORE + "providerClass": ROCKSDB}
+    """The disk-backed state store, without files allocated ahead (a state may have very many partitions)."""
+    keys = {STORE + "providerClass": ROCKSDB, STORE + "rocksdb.allowFAllocate": "false"}
     old = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
