@@ -26,7 +26,7 @@ from .common import documents, remainder, spool
 from .eliasfano import Trie
 from .textkit import Words, mix, pieces
 
-MU = 100.0
+MU = 500.0
 #: Tokens of a block, and distinct words and pairs that one shard should add up.
 BLOCK_TOKENS, SHARD_ENTRIES = 1 << 21, 1 << 21
 #: The token that ends a text.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, lm, mixing, neardup, packing, quality, sharding, toxicity
+from . import exact_dedup, langid, lm, mixing, neardup, packing, quality, sharding, toxicity, warc
 
-_QUERIES = (quality.op1_quality_rules, exact_dedup.op2_stream_dedup, langid.op4_mixture_languages, sharding.op5_jump_shards, mixing.op6_pfair_mixing, packing.op7_nnls_packing, lm.op8_trie_scores, neardup.op9_minhash_join, toxicity.op10_recurrent_toxicity)
-_ORACLES = (quality.ORACLE, exact_dedup.ORACLE)
+_QUERIES = (quality.op1_quality_rules, exact_dedup.op2_stream_dedup, warc.op3_revisits, langid.op4_mixture_languages, sharding.op5_jump_shards, mixing.op6_pfair_mixing, packing.op7_nnls_packing, lm.op8_trie_scores, neardup.op9_minhash_join, toxicity.op10_recurrent_toxicity)
+_ORACLES = (quality.ORACLE, exact_dedup.ORACLE, warc.ORACLE)
 
 
 def queries() -> dict:
