@@ -19,8 +19,11 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from .plans import comparison  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
