@@ -19,12 +19,15 @@ STORE = "spark.sql.streaming.stateStore."
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-#: Where a row of a plain Parquet table lies.
-PLACE = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
 #: Places of dropped rows up to this many are sent to all executors (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
+def place(file: str, row: str) -> list[Column]:
+    """Where a row of a plain Parquet table lies."""
+    return [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
+
+
 def normalised(text: Column) -> Column:
     """Null as empty; each run of the six spaces as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
@@ -94,15 +97,15 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     goes = spool(_decided(docs, sha256, 10_000).filter("NOT kept").select("file", "row"), "dedup-goes")
     if goes.count() <= BROADCAST_ROWS:
         goes = F.broadcast(goes)
-    placed = docs.select(*columns, *PLACE)
+    placed = docs.select(*columns, *place("_file", "_row"))
     return placed.join(goes.toDF("_file", "_row"), ["_file", "_row"], "left_anti").select(*columns)
 
 
 def _decided(docs: DataFrame, digest, files_per_trigger: int) -> DataFrame:
     spark = docs.sparkSession
-    place = [PLACE[0].alias("file"), PLACE[1].alias("row")]
+    at = place("file", "row")
     text = normalised(F.col("text"))
-    digests = spool(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *place, text.alias("t")).select("doc_id", "file", "row", digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("text_sha256")), "dedup-digests")
+    digests = spool(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *at, text.alias("t")).select("doc_id", "file", "row", digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("text_sha256")), "dedup-digests")
     state_path = new_path(spark, "dedup-state")
     update_state(digests, state_path, files_per_trigger)
     groups = spool(read_state(spark, state_path), "dedup-groups")
@@ -113,7 +116,7 @@ def _decided(docs: DataFrame, digest, files_per_trigger: int) -> DataFrame:
 
     # Full bytes of every hit against the text at the kept locator.
     copies = placed.filter("n > 1").select("doc_id", "file", "row", "digest", "text_sha256", stays.alias("stays"))
-    texts = docs.select(*place, text.alias("t"))
+    texts = docs.select(*at, text.alias("t"))
     copies = spool(texts.join(copies, ["file", "row"]), "dedup-copies")
     kept = copies.filter("stays").select("digest", F.col("t").alias("kept_t"))
     unequal = spool(copies.filter("NOT stays").join(kept, "digest").filter(~F.col("t").eqNullSafe(F.col("kept_t"))).select("digest").distinct(), "dedup-unequal")
