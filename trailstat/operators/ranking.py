@@ -44,3 +44,16 @@ def latest_before(df: DataFrame, key: Sequence[str], order: Sequence[str], wante
         cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
     found = rows.withColumn("_inside", F.max(value).over(within)).join(last, cond)
     return found.withColumn(out, F.coalesce("_inside", "_carried")).select(*df.columns, out)
+
+
+def running_count(df: DataFrame, key: Sequence[str], order: str, out: str, stretch: int) -> DataFrame:
+    """Adds ``out``: the row's place from 1 within its key by an integer ``order``, numbered stretch by stretch."""
+    rows = df.withColumn("_stretch", F.floor(F.col(order) / stretch))
+    across = Window.partitionBy(*key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*key, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_stretch").alias("_at"), F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+    cond = F.col("_stretch") == F.col("_at")
+    for c in key:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    placed = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*key, "_stretch").orderBy(order)))
+    return placed.join(sizes, cond).withColumn(out, F.col("_row") + F.col("_before")).select(*df.columns, out)
