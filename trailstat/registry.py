@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from .plans import comparison  # noqa: F401  registers its queries
+    from .plans import comparison, screening  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 
