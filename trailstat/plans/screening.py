@@ -201,6 +201,6 @@ def strata_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.strata_agree(c._balanced(spark, sf_dir), cohort.strata(ce, other), "unrestricted").select(*cohort.STRATUM)
 
 
-@query("stream_event_windows", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_events, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+@query("stream_event_windows", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n_events, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windowed_counts(spark, f"{sf_dir}/events.parquet").withColumn("total", F.round("total", 6))
+    return windowed_counts(spark, f"{sf_dir}/events.parquet").select(F.col("day").cast("string").alias("day"), "event_type", "n_events", F.round("total", 6).alias("total"))
