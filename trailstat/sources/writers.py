@@ -14,7 +14,7 @@ def csv(df: DataFrame, path: str, fields: Sequence[str] | None = None) -> None:
     """``fields`` (default: all; one that ``df`` lacks is empty) as CSV with a header; null as an empty field."""
     fields = list(fields or df.columns)
     columns = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in df.columns else F.lit("").alias(f) for f in fields]
-    df.select(*columns).write.mode("overwrite").csv(path, header=True, emptyValue="")
+    df.select(*columns).write.mode("overwrite").csv(path, header=True, emptyValue="", escape='"')
 
 
 def split(df: DataFrame, path: str, public: Sequence[str]) -> None:
