@@ -15,7 +15,7 @@ from . import comparison as c
 from .adapters import EPISODES_SQL, episodes, table
 
 #: A small contract whose patterns mean the same to Spark and DuckDB.
-STAGES = {"planning": ["\\bwith\\b", "\\bmit\\b"], "packaging": ["licensed under", "cc by"], "secrets": ["token *=", "password"]}
+STAGES = {"planning": ["(^|[ \\n])with([ .,]|$)", "(^|[ \\n])mit([ .,]|$)"], "packaging": ["licensed under", "cc by"], "secrets": ["token *=", "password"]}
 MODES = {"contacts": ["@[a-z]+\\.[a-z]+"], "tables": [" \\| "], "shouting": ["!!"]}
 
 
