@@ -52,15 +52,15 @@ def _repeated_words(words: str) -> str:
     """
     gram = lambda i: f"{words}[{i}], ' ', {words}[{i} + 1], ' ', {words}[{i} + 2]"
     mask = (1 << PLACE_BITS) - 1
-    packed = f"""array_sort(transform(sequence(0, size({words}) - 3), i -> (xxhash64({gram('i')}) & {~mask}L) | i))"""
+    packed = f"""sort_array(transform(sequence(0, size({words}) - 3), i -> (xxhash64({gram('i')}) & {~mask}L) | i))"""
     return f"""
     CASE WHEN size({words}) < 4 THEN 0L ELSE (
       transform(array({packed}), s ->
         transform(array(CASE WHEN size({words}) > {mask} THEN sequence(0, size({words}) - 3) ELSE
             transform(filter(s, (x, i) -> (i > 0 AND (x ^ s[greatest(i - 1, 0)]) BETWEEN 0 AND {mask}) OR (i < size(s) - 1 AND (x ^ s[least(i + 1, size(s) - 1)]) BETWEEN 0 AND {mask})), x -> cast(x & {mask} AS int)) END), c ->
           CASE WHEN size(c) < 2 THEN 0L ELSE
-          transform(array(array_sort(transform(c, p -> struct(concat({gram('p')}) AS g, p AS p)))), t ->
-            transform(array(array_sort(transform(filter(t, (x, i) -> (i > 0 AND x.g = t[greatest(i - 1, 0)].g) OR (i < size(t) - 1 AND x.g = t[least(i + 1, size(t) - 1)].g)), x -> x.p))), q ->
+          transform(array(sort_array(transform(c, p -> struct(concat({gram('p')}) AS g, p AS p)))), t ->
+            transform(array(sort_array(transform(filter(t, (x, i) -> (i > 0 AND x.g = t[greatest(i - 1, 0)].g) OR (i < size(t) - 1 AND x.g = t[least(i + 1, size(t) - 1)].g)), x -> x.p))), q ->
               aggregate(transform(q, (p, i) -> CASE WHEN i = size(q) - 1 THEN 3 ELSE least(3, q[least(i + 1, size(q) - 1)] - p) END), 0L, (a, x) -> a + x))[0])[0] END)[0])[0]) END"""
 
 
@@ -84,8 +84,8 @@ def with_base(docs: DataFrame, whole: bool = False) -> DataFrame:
         "text",
         *(["_row", "_at"] if whole else []),
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_lines").cast("long").alias("n_lines"),
         F.expr(_repeated_words("_words")).cast("long").alias("n_repeat_words"),
