@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 
 _ONE = np.uint64(1)
+_PIECE = 1 << 14
 
 
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -39,8 +40,10 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         bits = max(0, (max(1, top) // max(1, n)).bit_length() - 1)
         if bits:
-            flags = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & _ONE).astype(np.uint8).ravel()
-            packed = np.packbits(flags, bitorder="little")
+            # In pieces: a piece's flags take a byte a bit, and shifts eight.
+            places = np.arange(bits, dtype=np.uint64)
+            bits_of = lambda part: np.packbits(((part[:, None] >> places) & _ONE).astype(np.uint8).ravel(), bitorder="little")
+            packed = np.concatenate([bits_of(values[i : i + _PIECE]) for i in range(0, n, _PIECE)])
             low = np.zeros(len(packed) // 8 + 2, np.uint64)
             low.view(np.uint8)[: len(packed)] = packed
         else:
@@ -139,8 +142,10 @@ class Trie:
         out[found[hit]] = place[found[hit]]
         return out
 
-    def log10(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def log10(self, first: np.ndarray, second: np.ndarray, chunk: int = 1 << 17) -> np.ndarray:
         """log10 probability of ``second`` after ``first``."""
+        if len(first) > chunk:
+            return np.concatenate([self.log10(first[i : i + chunk], second[i : i + chunk]) for i in range(0, len(first), chunk)])
         place = self.pair_places(first, second)
         seen = place >= 0
         return -self.STEP * np.where(seen, self.pairs[np.where(seen, place, 0)] if len(self.pairs) else 0, self.backoff[first].astype(np.int64) + self.words[second]).astype(np.float64)

@@ -105,6 +105,12 @@ class _Block:
         return [words.astype(np.int64), pairs.astype(np.int64)]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows, one at a time: each is a block of some megabytes."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _by_shard(shards: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of each shard's entries, in a row, and where each shard's begin."""
     order = np.argsort(shards, kind="stable")
@@ -114,7 +120,7 @@ def _by_shard(shards: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _ask(n_shards: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 b = _Block(row)
                 vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
                 names = [vocabulary, mix(vocabulary[b.first] * np.uint64(0x9E3779B97F4A7C15) + mix(vocabulary[b.second]))]
@@ -149,7 +155,7 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
 def _score(n_shards: int, n_train: int, n_words: int, mu: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 b = _Block(row)
                 totals = [np.zeros(b.n_words, np.int64), np.zeros(len(b.first), np.int64)]
                 sorted_places = [_by_shard(s, n_shards) for s in b.shards(n_shards)]
