@@ -21,6 +21,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 #: Places of dropped rows up to this many are sent to all executors (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Rows of one digest that are compared with one copy of its kept text.
+SALTED = 256
 
 
 def place(file: str, row: str) -> list[Column]:
@@ -115,18 +117,20 @@ def _decided(docs: DataFrame, digest, files_per_trigger: int) -> DataFrame:
     result = placed.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), stays.alias("kept"), "text_sha256", "file", "row", "digest")
 
     # Full bytes of every hit against the text at the kept locator.
-    copies = placed.filter("n > 1").select("doc_id", "file", "row", "digest", "text_sha256", stays.alias("stays"))
+    # A digest may be that of a third of all rows: its hits go to one place for each SALTED rows, with a copy of the kept text.
+    parts = F.ceil(F.col("n") / F.lit(float(SALTED))).cast("long")
+    copies = placed.filter("n > 1").select("doc_id", "file", "row", "digest", "text_sha256", stays.alias("stays"), parts.alias("parts"))
     texts = docs.select(*at, text.alias("t"))
     copies = spool(texts.join(copies, ["file", "row"]), "dedup-copies")
-    kept = copies.filter("stays").select("digest", F.col("t").alias("kept_t"))
-    unequal = spool(copies.filter("NOT stays").join(kept, "digest").filter(~F.col("t").eqNullSafe(F.col("kept_t"))).select("digest").distinct(), "dedup-unequal")
+    kept = copies.filter("stays").select("digest", F.col("t").alias("kept_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    hits = copies.filter("NOT stays").select("digest", "t", F.pmod(F.xxhash64("file", "row"), F.col("parts")).alias("part"))
+    unequal = spool(hits.join(kept, ["digest", "part"]).filter(~F.col("t").eqNullSafe(F.col("kept_t"))).select("digest"), "dedup-unequal").distinct()
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "file", "row"]
     if unequal.isEmpty():
-        for table in (copies, unequal):
-            discard(table)
+        discard(copies)
         return result.select(*columns)
 
-    mixed = copies.join(unequal, "digest", "left_semi")
+    mixed = copies.drop("parts").join(unequal, "digest", "left_semi")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("file"), F.col("row"))
     exact = mixed.groupBy("text_sha256", "t").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
     resolved = mixed.select("doc_id", "file", "row", "text_sha256", "t").join(exact, ["text_sha256", "t"])
