@@ -31,7 +31,7 @@ from .textkit import Words, mix, pieces, shingles
 SHINGLE = 5
 SIMILAR_PERCENT = 75
 COORDINATES = 64
-#: At a similarity of 0.75 a pair has fewer matches than this with a chance of about 1 in 70,000.
+#: At a similarity of 0.75 a pair has fewer matches than this with a chance of about 1 in 200,000.
 MATCHES = 32
 BLOCK = 512
 #: Ids up to this many are sent to all executors (16 bytes each); more are joined by a shuffle.
