@@ -28,7 +28,7 @@ from .textkit import Words, mix, pieces
 
 MU = 500.0
 #: Tokens of a block, and distinct words and pairs that one shard should add up.
-BLOCK_TOKENS, SHARD_ENTRIES = 1 << 21, 1 << 21
+BLOCK_TOKENS, SHARD_ENTRIES = 1 << 20, 1 << 20
 #: The token that ends a text.
 END = np.uint64(0x5851F42D4C957F2D)
 
