@@ -68,6 +68,19 @@ def test_small_blocks_and_shuffled_ids_lose_no_link(spark, monkeypatch):
     assert seen(n.near_dedup(table(spark, rows))) == brute(rows)
 
 
+def test_two_followers_of_a_leader_that_follows_another(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(30):
+        fresh = lambda n, g=g: [f"g{g}w{rng.randrange(10**9)}" for _ in range(n)]
+        shared, second, third = fresh(80), fresh(60), fresh(60)
+        a = shared + fresh(5)
+        b = a[:-3] + fresh(3)
+        texts = [a, b, shared + second, second + third, second + third + fresh(4), third + fresh(10), third + fresh(12)]
+        rows += [(len(rows) + i, " ".join(t), None, None, None, "", "", "") for i, t in enumerate(texts)]
+    assert seen(n.near_dedup(table(spark, rows))) == brute(rows)
+
+
 def test_awkward_rows(spark):
     got = n.near_dedup(table(spark))
     # Rows of one id are one document for linking; here each of their texts is judged.

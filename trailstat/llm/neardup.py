@@ -189,7 +189,8 @@ def near_links(features: DataFrame, docs: DataFrame) -> DataFrame:
     # One neighbourhood, several components: blocks of those outside the leader's component against all.
     home = placed.select(F.col("class").alias("leader"), F.col("component").alias("home"))
     around = placed.join(home, "leader").withColumn("outside", F.col("component") != F.col("home"))
-    sizes = around.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside")).filter("n_outside > 0 AND n > 2")  # a lone pair has been compared
+    sizes = around.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside"), F.bool_or(F.col("class") == F.col("leader")).alias("led"))
+    sizes = sizes.filter("n_outside > 0 AND (n > 2 OR n = 2 AND NOT led)")  # a leader and its only follower have been compared
     blocks = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK))).cast("int")
     around = around.join(sizes.select("leader", blocks("n").alias("blocks"), blocks("n_outside").alias("outside_blocks")), "leader").join(sets, "class")
     own = F.pmod(F.xxhash64("class"), F.lit(1 << 30))
