@@ -5,6 +5,7 @@ from helpers import awkward, empty, table, words
 
 from trailstat.llm import neardup as n
 from trailstat.llm.components import components
+from trailstat.llm.textkit import shingles
 
 
 def shingle_set(text):
@@ -81,6 +82,19 @@ def test_two_followers_of_a_leader_that_follows_another(spark):
     assert seen(n.near_dedup(table(spark, rows))) == brute(rows)
 
 
+def test_shingles_of_few_words():
+    rng = np.random.default_rng(0)
+    for total in range(6):
+        hashes = rng.integers(0, 1 << 63, total).astype(np.uint64)
+        for first in ([0, total], [0, 0, total, total], [0, total // 2, total]):
+            got, begin = shingles(hashes, np.array(first), 5)
+            sizes = [max(1, c - 4) if c else 0 for c in np.diff(first)]
+            assert begin.tolist() == [0, *np.cumsum(sizes)] and len(got) == sum(sizes)
+            for i in range(len(sizes)):
+                alone, _ = shingles(np.concatenate([hashes[first[i] : first[i + 1]], hashes, hashes[:1].repeat(5)]), np.array([0, first[i + 1] - first[i]]), 5)
+                assert (alone == got[begin[i] : begin[i + 1]]).all()
+
+
 def test_awkward_rows(spark):
     got = n.near_dedup(table(spark))
     # Rows of one id are one document for linking; here each of their texts is judged.

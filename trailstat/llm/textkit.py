@@ -112,7 +112,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndar
     begin = np.concatenate([[0], np.cumsum(sizes)])
     weights = mix(np.arange(11, 11 + k, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
     rolled = np.zeros(max(0, n - k + 1), np.uint64)
-    for j in range(k):
+    for j in range(k if n >= k else 0):
         rolled += hashes[j : n - k + 1 + j] * weights[j]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     places = np.flatnonzero(counts[owner] >= k)
