@@ -95,6 +95,17 @@ def test_shingles_of_few_words():
                 assert (alone == got[begin[i] : begin[i + 1]]).all()
 
 
+def test_a_text_without_an_id_links_as_others_do(spark):
+    base = [f"w{i}" for i in range(80)]
+    edit = lambda *at: " ".join("e" + w if i in at else w for i, w in enumerate(base))
+    # The two documents are too far from each other, and near the text without an id between them.
+    texts = [(1, edit(0, 10)), (2, edit(60, 79)), (None, edit()), (None, "Other " + edit()), (3, "far from all of them")]
+    rows = [(i, t, None, None, None, "", "", "") for i, t in texts]
+    got = seen(n.near_dedup(table(spark, rows)))
+    assert got == brute(rows) and {r[3] for r in got} == {1, 3}
+    assert brute(rows[:2]) != brute(rows)[:2]
+
+
 def test_awkward_rows(spark):
     got = n.near_dedup(table(spark))
     # Rows of one id are one document for linking; here each of their texts is judged.

@@ -73,11 +73,12 @@ def _sets(batches: Iterator[pa.RecordBatch]):
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("signature", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("signature", pa.list_(pa.int64()))])
     for batch, sets in _sets(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("place"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
@@ -151,10 +152,16 @@ def _with_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("root", "class")).drop("root")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, place (a hash of the text where there is no id), text."""
+    own = F.col("doc_id").cast("long")
+    return docs.select(own.alias("doc_id"), F.when(own.isNull(), F.xxhash64("text")).alias("place"), "text")
+
+
 def near_links(features: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: links between classes of equal sets, enough of them to join what is connected."""
     spark = docs.sparkSession
-    classes = spool(features.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "near-classes")
+    classes = spool(features.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.first("signature").alias("signature")), "near-classes")
 
     posted = classes.select("class", F.explode("signature").alias("key"))
     frequent = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -169,13 +176,13 @@ def near_links(features: DataFrame, docs: DataFrame) -> DataFrame:
         "near-live",
     )
 
-    # The sets of what can have a link, from one reading of the texts by an id of each class.
-    wanted = live.select("class").join(classes.select("class", "doc_id"), "class")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The sets of what can have a link, from one reading of the texts by an id of each class, or where none has an id by a hash of a text.
+    wanted = live.select("class").join(classes.select("class", F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "place").alias("place")), "class")
+    texts = _placed(docs).select(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "place").alias("place"), "text")
     if live.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    # An id that several rows share finds all its texts; a set that isn't the class's own is dropped.
-    sets = texts.join(wanted, "doc_id").mapInArrow(_class_sets, "class long, set binary")
+    # An id (or hash) that several rows share finds all its texts; a set that isn't the class's own is dropped.
+    sets = texts.join(wanted, ["unnamed", "place"]).mapInArrow(_class_sets, "class long, set binary")
     sets = spool(_own_sets(sets), "near-sets")
 
     lists = live.select("class", "weight", F.explode("prefix").alias("key"))
@@ -234,7 +241,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     reached, and stay. Repeated rows of one id are one document for linking. An empty table gives no
     rows; other columns are ignored.
     """
-    features = spool(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features, "doc_id long, n_shingles long, class long, signature array<long>"), "near-features")
+    features = spool(_placed(docs).mapInArrow(_features, "doc_id long, place long, n_shingles long, class long, signature array<long>"), "near-features")
     links, classes = near_links(features, docs)
     roots = components(links, "a", "b")
     joined = roots.select("node").unionByName(roots.select(F.col("root").alias("node"))).distinct()
