@@ -46,6 +46,39 @@ def test_positions(spark):
     assert all(v == list(range(len(v))) for v in by_source.values())
 
 
+def test_no_source_strays_a_block_from_the_given_weights(spark):
+    weights = {"hot": 100, **{f"s{i:03}": 1 for i in range(200)}}
+    rows = [(None, "", None, s, None, "", "", "") for s, w in weights.items() for _ in range(6 * w)]
+    order = [r["source"] for r in sorted(m.mix_positions(table(spark, rows), weights, block_rows=1).collect(), key=lambda r: r["position"])]
+    done = Counter()
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        assert all(abs(done[x] - Fraction(t * weights[x], 300)) < 1 for x in ("hot", s))
+    assert done == {s: 6 * w for s, w in weights.items()}
+
+
+@pytest.mark.parametrize("weights", [{"a": 1e-5, "b": 0.7, None: 0.3}, {str(i): (i % 7 + 1) ** 0.7 for i in range(60)}, {"a": Fraction(1, 3), "b": Fraction(2, 3)}])
+def test_exact_windows_and_lag_as_sources_run_out(weights):
+    blocks = {s: 300 + 997 * k % 601 for k, s in enumerate(weights)}
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    fluid, done, t = dict.fromkeys(blocks, Fraction(0)), Counter(), 0
+    for t, (s, i, release, deadline) in enumerate(m.pfair(blocks, weights)):
+        assert i == done[s] and release <= t < deadline
+        done[s] += 1
+        step = Fraction(1)
+        while step:
+            live = [x for x in blocks if fluid[x] < blocks[x]]
+            total = sum(exact[x] for x in live)
+            part = min(step, *[(blocks[x] - fluid[x]) * total / exact[x] for x in live])
+            for x in live:
+                fluid[x] += part * exact[x] / total
+            step -= part
+        assert all(abs(done[x] - fluid[x]) < 1 for x in blocks)
+        if t > 2500:
+            return
+    assert done == blocks
+
+
 def test_documents_come_whole_in_mixed_order(spark):
     docs = spool(table(spark).dropDuplicates(), "t")
     mixed = m.mixed_documents(docs, block_rows=2)

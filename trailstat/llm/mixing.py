@@ -1,31 +1,81 @@
 """Mixing sources to target weights by Pfair scheduling (Baruah et al., 1996).
 
-Each source's documents form blocks. With share q of a period of Q slots, block i (from 0) of a source
-is released at floor(i Q / q) and due by ceil((i + 1) Q / q). Earliest-deadline-first over released
-blocks fills every slot and meets every deadline, so after any number of slots a source has had its
-share to within less than one block. The schedule repeats after Q slots: one period is simulated on
-the driver and every block's slot follows from it by arithmetic. When a source runs out, the others
-share its slots in proportion to their weights from there on (a new phase); no row is dropped.
+Each source's documents form blocks, one a slot. When all sources with rows left are served side by side
+in proportion to their weights, T(v) = sum over sources of min(weight * v, blocks) slots have passed when
+one of weight w has had w * v blocks; a source that runs out leaves its slots to the others. Block i
+(from 0) is released at floor(T(i / w)) and due by ceil(T((i + 1) / w)), from the exact weights as whole
+numbers. Earliest-deadline-first over released blocks fills every slot and meets every deadline, so after
+any number of slots a source has had its share to within less than one block. No row is dropped. The
+driver computes the slots, one by one, and writes them in pieces to the shared folder.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, relation_paths, slots, spool
+from .common import documents, new_path, relation_paths, slots, spool
 
 PERIOD = 4096
-#: The plan sent to all executors has at most this many sources times PERIOD numbers (16 MB).
 MOST_SOURCES = 1024
+#: The plan is written in pieces of so many blocks.
+PLAN_BLOCKS = 1 << 18
 BLOCK_ROWS = 16
 #: Where no weights are given, a source weighs its number of rows to this power.
 FLATTENING = 0.7
 
-PLAN = "source string, phases array<struct<first:long,start:long,share:int,places:array<int>>>"
+PLAN = "source string, block long, slot long, release long, deadline long, first long"
+
+
+def whole_weights(weights: Mapping) -> dict:
+    """The weights times one number that makes all of them whole."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be positive")
+    scale = math.lcm(*{w.denominator for w in exact.values()})
+    return {s: w.numerator * (scale // w.denominator) for s, w in exact.items()}
+
+
+def pfair(blocks: Mapping, weights: Mapping) -> Iterator[tuple]:
+    """(source, block, release, deadline) of slots 0, 1, and so on; equal deadlines by name."""
+    names = sorted((s for s, n in blocks.items() if n), key=lambda s: (s is None, s or ""))
+    weight = whole_weights({s: weights[s] for s in names})
+    weight, left = [weight[s] for s in names], [blocks[s] for s in names]
+    # Where sources run out, in order: the sources before number k of them are done, with done[k] blocks, and the others weigh active[k].
+    ends = sorted(Counter(zip(left, weight)).items(), key=lambda x: (x[0][0] / x[0][1], Fraction(*x[0])))
+    near = [n / w for (n, w), _ in ends]
+    done, active = [0], [sum(weight)]
+    for (n, w), many in ends:
+        done.append(done[-1] + n * many)
+        active.append(active[-1] - w * many)
+
+    def passed(i: int, w: int) -> int:
+        """w * T(i / w)"""
+        k = bisect_right(near, i / w)
+        while k and ends[k - 1][0][0] * w > i * ends[k - 1][0][1]:
+            k -= 1
+        return done[k] * w + i * active[k]
+
+    waiting = [(0, k, 0) for k in range(len(names))]
+    ready = []
+    for t in range(sum(left)):
+        while waiting and waiting[0][0] <= t:
+            release, k, i = heapq.heappop(waiting)
+            due = passed(i + 1, weight[k])
+            heapq.heappush(ready, (-(-due // weight[k]), k, i, release, due // weight[k]))
+        deadline, k, i, release, following = heapq.heappop(ready)
+        yield names[k], i, release, deadline
+        if i + 1 < left[k]:
+            heapq.heappush(waiting, (following, k, i + 1))
 
 
 def shares(weights: Mapping, period: int = PERIOD) -> dict:
@@ -44,7 +94,7 @@ def shares(weights: Mapping, period: int = PERIOD) -> dict:
 
 
 def one_period(share: Mapping, period: int = PERIOD) -> dict:
-    """Slots of each source's blocks within a period, by earliest deadline among released blocks."""
+    """For rounded shares, slots of each source's blocks within a period, by earliest deadline among released blocks."""
     names = list(share)
     release = lambda s, i: i * period // share[s]
     due = lambda s, i: -(-(i + 1) * period // share[s])
@@ -63,7 +113,7 @@ def one_period(share: Mapping, period: int = PERIOD) -> dict:
 
 
 def schedule(blocks: Mapping, weights: Mapping, period: int = PERIOD) -> dict:
-    """Per source its phases: (first block, first slot, share, places in the period)."""
+    """With shares rounded to a period (``mix`` uses exact weights), per source its phases: (first block, first slot, share, places in the period)."""
     left, done, start = dict(blocks), dict.fromkeys(blocks, 0), 0
     out = {s: [] for s in blocks}
     left = {s: n for s, n in left.items() if n}
@@ -83,41 +133,37 @@ def schedule(blocks: Mapping, weights: Mapping, period: int = PERIOD) -> dict:
     return out
 
 
-def _same(c: str) -> Column:
-    return F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}"))
-
-
 def mix(rows: DataFrame, counts: Mapping, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` have source and source_row (place in the source); adds block, slot, release, deadline and position.
 
-    release and deadline: the slots between which the block's phase wants it.
+    release and deadline: the slots between which the block's weight wants it.
     """
     spark = rows.sparkSession
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"at most {MOST_SOURCES} sources")
-    weights = weights or {s: n**FLATTENING for s, n in counts.items()}
-    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
-    plan = schedule(blocks, {s: weights[s] for s in counts})
-    table = spark.createDataFrame([(s, [(a, b, q, p) for a, b, q, p in phases]) for s, phases in plan.items()], PLAN)
-    short = []
-    for s, phases in plan.items():
-        a, b, q, p = phases[-1]
-        i = blocks[s] - 1 - a
-        if missing := blocks[s] * block_rows - counts[s]:
-            short.append((b + i // q * PERIOD + p[i % q], missing))
-    # Rows that part-filled blocks lack, for a position without gaps.
-    lacks = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(m).cast("long").alias("n")) for s, m in sorted(short)])
-    joined = rows.withColumn("block", F.expr(f"source_row div {block_rows}")).alias("r").join(F.broadcast(table).alias("p"), _same("source"))
-    joined = joined.select("r.*", F.expr("element_at(filter(p.phases, x -> x.first <= r.block), -1)").alias("ph"))
-    joined = joined.select("*", (F.col("block") - F.col("ph.first")).alias("i"))
-    joined = joined.select(
-        *[c for c in joined.columns if c not in ("ph", "i")],
-        F.expr(f"ph.start + (i div ph.share) * {PERIOD} + ph.places[cast(i % ph.share as int)]").alias("slot"),
-        F.expr(f"ph.start + (i * {PERIOD}) div ph.share").alias("release"),
-        F.expr(f"ph.start + ((i + 1) * {PERIOD} + ph.share - 1) div ph.share").alias("deadline"),
-    )
-    before = F.aggregate(F.filter(lacks, lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["n"]) if short else F.lit(0).cast("long")
-    return joined.withColumn("position", F.col("slot") * block_rows + F.expr(f"source_row % {block_rows}") - before)
+    plan = _written(spark, _placed(counts, weights or {s: n**FLATTENING for s, n in counts.items()}, block_rows))
+    at = (F.col("r.source").eqNullSafe(F.col("p.source"))) & (F.col("r.block") == F.col("p.block"))
+    joined = rows.withColumn("block", F.expr(f"source_row div {block_rows}")).alias("r").join(plan.alias("p"), at)
+    return joined.select("r.*", "p.slot", "p.release", "p.deadline", (F.col("p.first") + F.expr(f"r.source_row % {block_rows}")).alias("position"))
+
+
+def _placed(counts: Mapping, weights: Mapping, block_rows: int) -> Iterator[tuple]:
+    """Rows of PLAN; first is the position of the block's first row."""
+    first = 0
+    for slot, (s, block, release, deadline) in enumerate(pfair({s: -(-n // block_rows) for s, n in counts.items()}, weights)):
+        yield s, block, slot, release, deadline, first
+        first += min(block_rows, counts[s] - block * block_rows)
+
+
+def _written(spark: SparkSession, plan: Iterator[tuple]) -> DataFrame:
+    path, kinds = new_path(spark, "mix-plan"), [pa.string()] + [pa.int64()] * 5
+    names = [c.split()[0] for c in PLAN.split(", ")]
+    empty = spark.createDataFrame([], PLAN)
+    empty.write.parquet(path)
+    while piece := list(islice(plan, PLAN_BLOCKS)):
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*piece), kinds)]
+        spark.createDataFrame(pa.table(columns, names=names)).write.mode("append").parquet(path)
+    return spark.read.schema(PLAN).parquet(path)
 
 
 def _counts(rows: DataFrame) -> dict:
