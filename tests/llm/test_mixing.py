@@ -57,6 +57,13 @@ def test_no_source_strays_a_block_from_the_given_weights(spark):
     assert done == {s: 6 * w for s, w in weights.items()}
 
 
+def test_thousands_of_sources(spark):
+    rows = [(i, "", None, f"host{i % 2000}" if i % 3 else "host0", None, "", "", "") for i in range(5000)]
+    got = m.mix_positions(table(spark, rows), block_rows=2).collect()
+    assert sorted(r["position"] for r in got) == list(range(5000)) and {r["doc_id"] for r in got} == set(range(5000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
 @pytest.mark.parametrize("weights", [{"a": 1e-5, "b": 0.7, None: 0.3}, {str(i): (i % 7 + 1) ** 0.7 for i in range(60)}, {"a": Fraction(1, 3), "b": Fraction(2, 3)}])
 def test_exact_windows_and_lag_as_sources_run_out(weights):
     blocks = {s: 300 + 997 * k % 601 for k, s in enumerate(weights)}

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import documents, new_path, relation_paths, slots, spool
 
 PERIOD = 4096
-MOST_SOURCES = 1024
 #: The plan is written in pieces of so many blocks.
 PLAN_BLOCKS = 1 << 18
 BLOCK_ROWS = 16
@@ -139,8 +138,6 @@ def mix(rows: DataFrame, counts: Mapping, weights: Mapping | None = None, block_
     release and deadline: the slots between which the block's weight wants it.
     """
     spark = rows.sparkSession
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"at most {MOST_SOURCES} sources")
     plan = _written(spark, _placed(counts, weights or {s: n**FLATTENING for s, n in counts.items()}, block_rows))
     at = (F.col("r.source").eqNullSafe(F.col("p.source"))) & (F.col("r.block") == F.col("p.block"))
     joined = rows.withColumn("block", F.expr(f"source_row div {block_rows}")).alias("r").join(plan.alias("p"), at)
@@ -167,7 +164,8 @@ def _written(spark: SparkSession, plan: Iterator[tuple]) -> DataFrame:
 
 
 def _counts(rows: DataFrame) -> dict:
-    return {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
+    found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    return dict(zip(found["source"].to_pylist(), found["n"].to_pylist()))
 
 
 def mix_positions(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
