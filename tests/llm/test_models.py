@@ -76,6 +76,17 @@ def test_network_gradients(monkeypatch):
         assert abs((high - low) / 2e-5 - g[k][at]) < 1e-6, k
 
 
+def test_every_trigram_of_a_long_word_is_read():
+    rng = np.random.default_rng(3)
+    for n in (63, 64, 65, 126, 127, 128, 5000):
+        text = b"one " + rng.integers(0x80, 0x100, n).astype(np.uint8).tobytes() + b" two"
+        got = toxicity.Inputs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        here = np.frombuffer(text, np.uint8)[4:-4].astype(np.uint64)
+        grams = toxicity.mix((here[:-2] << np.uint64(16)) | (here[1:-1] << np.uint64(8)) | here[2:]) % np.uint64(toxicity.TRIGRAMS)
+        assert set(grams.tolist()) <= set(got.grams.tolist())
+        assert got.first.tolist() == [0, len(got.number)] and got.gram_size.max() <= 64
+
+
 def test_windows_cover_every_word_and_overlap():
     for n in (0, 1, 31, 32, 33, 56, 57, 1000):
         _, start, length = toxicity.windows(np.array([0, n]))

@@ -3,6 +3,7 @@
 Each word's input joins an embedding of the word (of a vocabulary from the training sample) with the
 mean embedding of its character trigrams. A forward and a backward GRU read windows of WINDOW words
 that overlap by WINDOW - STRIDE, attention pools their states, and a logistic unit scores the window.
+A word of more than PIECE bytes is read as several inputs, pieces that share two bytes.
 All windows of a whole text are scored; a logistic regression on their summary scores the document.
 """
 
@@ -20,6 +21,7 @@ from .textkit import Words, mix, pieces, segment_hashes
 
 WINDOW, STRIDE = 32, 24
 WORDS, TRIGRAMS = 4096, 4096
+PIECE = 64
 WORD_DIM, CHAR_DIM, HIDDEN = 12, 8, 8
 #: The sample that the model is fitted on: about so many labelled documents by a hash of the id, of at
 #: most so many characters each, and so many windows of each.
@@ -50,17 +52,36 @@ def trimmed(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.where(alone, words.start, first), np.where(alone, words.end, last + 1)
 
 
+def cut(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, first: np.ndarray, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, end, hashes and first with each word of more than PIECE bytes as its pieces; all its trigrams of bytes are in one of them."""
+    n = np.maximum(1, -(-(end - start - 2) // (PIECE - 2)))
+    before = np.concatenate([[0], np.cumsum(n)])
+    if before[-1] == len(n):
+        return start, end, hashes, first
+    owner = np.repeat(np.arange(len(n)), n)
+    low = start[owner] + (np.arange(before[-1]) - before[owner]) * (PIECE - 2)
+    high = np.minimum(low + PIECE, end[owner])
+    names = hashes[owner]
+    long = np.flatnonzero(n[owner] > 1)
+    for at in range(0, len(long), chunk):
+        some = long[at : at + chunk]
+        place = low[some, None] + np.arange(PIECE)
+        codes = np.where(place < high[some, None], _TRIM_CODES[data[np.minimum(place, len(data) - 1)]], np.uint64(0))
+        names[some] = mix((codes * _PIECE_WEIGHTS).sum(axis=1, dtype=np.uint64))
+    return low, high, names, before[first]
+
+
 class Inputs:
-    """Distinct words of a batch, their character trigrams, and each word's number among them."""
+    """Distinct words (and pieces of long ones) of a batch, their character trigrams, and each word's number among them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = _LOWER[data]
         words = Words(data, offsets)
         start, end = trimmed(words)
         hashes = segment_hashes(data, start, end, _TRIM_CODES) if len(start) else np.zeros(0, np.uint64)
-        self.first = words.first
+        start, end, hashes, self.first = cut(data, start, end, hashes, words.first)
         self.names, where, self.number = np.unique(hashes, return_index=True, return_inverse=True)
-        low, size = start[where], np.minimum(end[where] - start[where], 64)
+        low, size = start[where], end[where] - start[where]
         # Trigrams of the bytes with a mark before and after: as many as bytes.
         row = np.repeat(np.arange(len(low)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -75,6 +96,7 @@ class Inputs:
 
 #: As for whole words; punctuation between trimmed words has to weigh nothing in a segment's sum.
 _TRIM_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+_PIECE_WEIGHTS = mix(np.arange(1, PIECE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
