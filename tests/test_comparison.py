@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailstat.functions import scalars as S
 from trailstat.operators import catalog, checks, cohort, effects, linkage, resample
+from trailstat.plans import comparison
 
 ACTIONS = [1, 2, 3, 4, 5, 6, 8, 10, 11, 12] * 2
 CLASSES = "array<struct<order:int,name:string,class:string,completed:boolean,succeeded:boolean,target_ref:string>>"
@@ -149,6 +150,12 @@ def test_bootstrap(spark):
     assert abs(native["m"]["ci_low"] - low) < 0.05 and native["r"]["ci_low"] >= 0.5
 
 
+def test_the_registered_bootstrap_draws_as_often_as_the_reference(monkeypatch):
+    monkeypatch.setattr(comparison, "_stations", lambda *_: None)
+    monkeypatch.setattr(resample, "exact_bootstrap", lambda rows, repetitions=resample.REPETITIONS: repetitions)
+    assert comparison.bootstrap_ci_exact(None, "") == 50_000
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         S.whole(F.lit("1.0")).alias("a"), S.whole(F.lit(" 7 ")).alias("b"), S.whole(F.lit("x"), 3).alias("c"), S.canonical_mask(F.lit("b||a|b")).alias("d"), S.month(F.lit("2026-01-31T23:30:00-05:00")).alias("e"),

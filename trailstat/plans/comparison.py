@@ -168,7 +168,7 @@ def exact_numerators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bootstrap_ci_exact")
 def bootstrap_ci_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.exact_bootstrap(_stations(spark, sf_dir), repetitions=2000)
+    return resample.exact_bootstrap(_stations(spark, sf_dir))
 
 
 @query("bootstrap_ci_native", BALANCE_SQL + f"""SELECT analysis_set, metric, round(CASE WHEN ratio THEN exp(l) ELSE l END, 9) AS ci_low, round(CASE WHEN ratio THEN exp(h) ELSE h END, 9) AS ci_high FROM (
