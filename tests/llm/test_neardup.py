@@ -4,6 +4,7 @@ import numpy as np
 from helpers import awkward, empty, table, words
 
 from trailstat.llm import neardup as n
+from trailstat.llm.common import shared_root, spool
 from trailstat.llm.components import components
 from trailstat.llm.textkit import shingles
 
@@ -64,6 +65,8 @@ def test_groups_with_edits_and_a_common_passage(spark):
 
 def test_small_blocks_and_shuffled_ids_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(n, "BLOCK", 7)
+    monkeypatch.setattr(n, "WIDE_BLOCK", 11)
+    monkeypatch.setattr(n, "PIVOTS", 1)
     monkeypatch.setattr(n, "BROADCAST_IDS", 0)
     rows = planted(2)
     assert seen(n.near_dedup(table(spark, rows))) == brute(rows)
@@ -82,6 +85,69 @@ def test_two_followers_of_a_leader_that_follows_another(spark):
     assert seen(n.near_dedup(table(spark, rows))) == brute(rows)
 
 
+def brute_by_matrix(rows):
+    """Components as ``brute`` has them, for thousands of texts with words: by one product of matrices."""
+    sets = [shingle_set(r[1]) for r in rows]
+    number = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(rows), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    links = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    least = np.array([r[0] for r in rows])
+    while True:
+        new = np.where(links, least[None, :], 1 << 60).min(axis=1)
+        if (new == least).all():
+            return {r[0]: int(c) for r, c in zip(rows, least)}, links
+        least = new
+
+
+def test_two_thousand_copies_around_several_leaders(spark):
+    rng = random.Random(11)
+    passage = [f"c{i}" for i in range(60)]
+    texts = []
+    for g in range(4):
+        # Copies with up to 8 edits: many are too far from the middle and from each other, and link through others.
+        base = passage + [f"g{g}w{i}" for i in range(60)]
+        texts += [[f"e{rng.randrange(60)}" if i in edits else w for i, w in enumerate(base)] for edits in ({rng.randrange(120) for _ in range(rng.randrange(9))} for _ in range(500))]
+    rows = [(i, " ".join(t), None, None, None, "", "", "") for i, t in enumerate(rng.sample(texts, len(texts)))]
+    want, links = brute_by_matrix(rows)
+    assert 4 < len(set(want.values())) < 1500 and not links[0].all()
+    got = {r["doc_id"]: r["component_id"] for r in n.near_dedup(table(spark, rows)).collect()}
+    assert got == want
+
+
+def test_a_passage_that_most_of_a_text_is_made_of(spark):
+    rng = random.Random(12)
+    passage = [f"c{i}" for i in range(70)]
+    texts = [passage + [f"w{rng.randrange(10**9)}" for _ in range(40)] for _ in range(400)]
+    texts += [[*t[:-2], "other", "end"] for t in texts[::10]]
+    rows = [(i, " ".join(t), None, None, None, "", "", "") for i, t in enumerate(texts)]
+    want, _ = brute_by_matrix(rows)
+    assert len(set(want.values())) == 400
+    assert {r["doc_id"]: r["component_id"] for r in n.near_dedup(table(spark, rows)).collect()} == want
+
+
+def test_rows_come_as_they_were_whatever_columns_are_called(spark):
+    names = ["doc_id", "text", "lang", "_place", "place", "_row", "_metadata", "a.b", "class", "part", "file"]
+    rows = [(r[0], r[1], r[2], *(f"{n}{i}" for n in names[3:])) for i, r in enumerate(awkward())]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for d in (docs, spool(docs, "t")):
+        got = n.unlike_documents(d)
+        assert got.columns == names
+        kept = {(r["doc_id"], r["n_shingles"]) for r in n.near_dedup(docs).filter("kept").collect()}
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in rows if (r[0], len(shingle_set(r[1]))) in kept)
+
+
+def test_nothing_is_left_behind_but_what_the_result_reads(spark):
+    import os
+
+    root = shared_root(spark).removeprefix("file://") + "/trailstat"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    rows = n.near_dedup(table(spark, planted(3, 4)))
+    assert rows.count() and {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before} == {"near-docs", "near-features", "near-named"}
+
+
 def test_shingles_of_few_words():
     rng = np.random.default_rng(0)
     for total in range(6):

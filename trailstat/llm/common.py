@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +28,51 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Folders made here, and for each open ``passing`` those made in it.
+_ours: set[str] = set()
+_open: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/trailstat/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/trailstat/{name}-{uuid.uuid4().hex}"
+    _ours.add(_plain(path))
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def _plain(path: str) -> str:
+    """Without the ways of writing the root of a local path."""
+    return re.sub("^(file:)?/+", "/", path).rstrip("/")
+
+
+def _delete(spark: SparkSession, root: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _ours.discard(_plain(root))
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables and folders made inside are deleted at the end, all but the tables given to the yielded function.
+
+    Those belong to the enclosing ``passing``, if there is one. What is kept is read by the lazy result.
+    """
+    _open.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(map(_plain, relation_paths(df) or []))
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            if _plain(path) not in kept:
+                _delete(spark, path)
+            elif _open:
+                _open[-1].append(path)
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
@@ -38,13 +84,10 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a spooled table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    """Delete a spooled table that nothing reads any more; other tables stay."""
     for root in relation_paths(df) or []:
-        if "/trailstat/" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        if _plain(root) in _ours:
+            _delete(df.sparkSession, root)
 
 
 def relation_paths(df: DataFrame) -> list[str] | None:
@@ -59,6 +102,22 @@ def relation_paths(df: DataFrame) -> list[str] | None:
     return [paths.apply(i).toString() for i in range(paths.size())]
 
 
+def stored(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``docs`` where it is a plain Parquet table, else its ``columns`` spooled: a table whose rows have a place."""
+    return docs if relation_paths(docs) else spool(docs.select(*[F.col(f"`{c}`") for c in columns]), name)
+
+
+def place(docs: DataFrame) -> tuple[Column, Column]:
+    """File and number of a row of a plain Parquet table, whatever its columns are called."""
+    at = docs.metadataColumn("_metadata")
+    return at["file_path"], at["row_index"]
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that helper columns beside it clash with none."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,10 +7,13 @@ two documents with enough collisions meet in what is left of both. Postings that
 list, so a document with fewer than MATCHES shared postings is done. Candidates are confirmed on their
 full shingle sets.
 
-Large groups are never expanded into all pairs. First each document is compared with one leader (the
-member of its lists whose postings are the most common, so the middle of a group of copies); then only
-what is still in different components is compared, within a leader's neighbourhood in blocks that
-return no more links than they have documents, and across neighbourhoods by pairs.
+Large groups are never expanded into all pairs. Each list has a leader (the member whose postings are
+the most common, so the middle of a group of copies), and a leader's lists make up its neighbourhood: two
+documents that share a posting share a neighbourhood. Documents are compared with a leader, with all
+their leaders, and with a few members of the largest component around a leader, each time only as far as
+they are still in different components. In the neighbourhoods that then hold several components,
+collisions of those outside the largest one are counted block by block, on signatures; those with enough
+of them are compared on their sets, again in blocks, which return no more links than they have documents.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, spool
+from .common import documents, passing, place, spool, stored, whole_row
 from .components import components
 from .textkit import Words, mix, pieces, shingles
 
@@ -33,8 +36,11 @@ SIMILAR_PERCENT = 75
 COORDINATES = 64
 #: At a similarity of 0.75 a pair has fewer matches than this with a chance of about 1 in 200,000.
 MATCHES = 32
-BLOCK = 512
-#: Ids up to this many are sent to all executors (16 bytes each); more are joined by a shuffle.
+#: Documents of a block whose sets are compared, and of one whose signatures are (4 MB of flags a pair of blocks).
+BLOCK, WIDE_BLOCK = 512, 2048
+#: Members of the largest component around a leader that the others are compared with before any block is.
+PIVOTS = 8
+#: Places of rows up to this many are sent to all executors (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 _ORDER = (mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -88,30 +94,41 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _class_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, signature and set of the texts that are of the class they were fetched for."""
     for batch, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
+        own = [i for i, (c, s) in enumerate(zip(batch.column("class").to_pylist(), sets)) if len(s) and class_of(s) == c]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("class").take(pa.array(own, pa.int64())), pa.array([signature(sets[i]).tobytes() for i in own], pa.binary()), pa.array([sets[i].tobytes() for i in own], pa.binary())],
+            names=["class", "signature", "set"],
+        )
 
 
 def similar(inter: np.ndarray | int, a, b) -> np.ndarray | bool:
     return 100 * inter >= SIMILAR_PERCENT * (a + b - inter)
 
 
+def _array(value, kind) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both sets, those that are links."""
+    """Of pairs with signatures and sets, those that collide often enough and then are links."""
     for batch in batches:
         keep = []
-        for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([x, y]))
-            keep.append(bool(similar(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
+        for s, t, x, y in zip(*(batch.column(c) for c in ("signature_a", "signature_b", "set_a", "set_b"))):
+            link = int((_array(s, np.int64) == _array(t, np.int64)).sum()) >= MATCHES
+            if link:
+                x, y = _array(x, np.uint64), _array(y, np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                link = bool(similar(int((both[1:] == both[:-1]).sum()), len(x), len(y)))
+            keep.append(link)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, signature_a, signature_b not needed) that are similar on full sets."""
-    left = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
+    """``pairs`` (a, b) that are links. A leader has many pairs: they come by a join that Spark can split."""
+    side = lambda x: sets.select(F.col("class").alias(x), F.col("signature").alias(f"signature_{x}"), F.col("set").alias(f"set_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "signature_a", "signature_b", "set_a", "set_b").mapInArrow(_confirm, "a long, b long")
 
 
 def _find(parent: dict, x):
@@ -121,30 +138,42 @@ def _find(parent: dict, x):
     return x
 
 
+def _collisions(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """Members outside and inside, and which of them collide often enough though their components differ."""
+    outside, inside = block[block["outer"]], block[~block["outer"]]
+    count = np.zeros((len(outside), len(inside)), np.uint8)
+    if count.size:
+        s, t = (np.stack([np.frombuffer(x, np.int64) for x in side["signature"]]) for side in (outside, inside))
+        for c in range(COORDINATES):
+            count += s[:, c, None] == t[None, :, c]
+    return outside, inside, (count >= MATCHES) & (outside["component"].to_numpy()[:, None] != inside["component"].to_numpy()[None, :])
+
+
+def _block_candidates(block: pd.DataFrame) -> pd.DataFrame:
+    """The members of two blocks of one neighbourhood that have a candidate in the other."""
+    outside, inside, found = _collisions(block)
+    some = pd.concat([outside[found.any(axis=1)], inside[found.any(axis=0)]])
+    return some[["leader", "class"]].drop_duplicates()
+
+
 def _block_links(block: pd.DataFrame) -> pd.DataFrame:
     """Links between two blocks of one neighbourhood that join different components; at most one a document."""
-    found = []
-    outside, inside = block[block["outer"]], block[~block["outer"]]
-    if len(outside) and len(inside):
-        parent = {c: c for c in [*outside["component"], *inside["component"]]}
-        members = [np.frombuffer(s, np.uint64) for s in inside["set"]]
-        sizes = np.array([len(s) for s in members])
-        values = np.concatenate(members)
-        order = np.argsort(values, kind="stable")
-        values, owners = values[order], np.repeat(np.arange(len(members)), sizes)[order]
-        names, groups = inside["class"].to_numpy(), inside["component"].to_numpy()
-        for name, group, own in zip(outside["class"], outside["component"], outside["set"]):
-            own = np.frombuffer(own, np.uint64)
-            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-            n = high - low
-            places = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            inter = np.bincount(owners[places], minlength=len(members))
-            for j in np.flatnonzero(similar(inter, len(own), sizes)):
-                x, y = _find(parent, group), _find(parent, groups[j])
-                if x != y:
+    links = []
+    outside, inside, found = _collisions(block)
+    parent = {c: c for c in [*outside["component"], *inside["component"]]}
+    sets = [np.frombuffer(s, np.uint64) for s in inside["set"]]
+    names, groups = inside["class"].to_numpy(), inside["component"].to_numpy()
+    for candidates, name, group, own in zip(found, outside["class"], outside["component"], outside["set"]):
+        own = np.frombuffer(own, np.uint64)
+        for j in np.flatnonzero(candidates):
+            x, y = _find(parent, group), _find(parent, groups[j])
+            if x != y:
+                places = np.searchsorted(own, sets[j])
+                inter = int((own[np.minimum(places, len(own) - 1)] == sets[j]).sum())
+                if similar(inter, len(own), len(sets[j])):
                     parent[x] = y
-                    found.append((name, names[j]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    links.append((name, names[j]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def _with_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -152,83 +181,109 @@ def _with_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("root", "class")).drop("root")
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, place (a hash of the text where there is no id), text."""
-    own = F.col("doc_id").cast("long")
-    return docs.select(own.alias("doc_id"), F.when(own.isNull(), F.xxhash64("text")).alias("place"), "text")
+def _torn(around: DataFrame) -> DataFrame:
+    """leader, top (the largest component), n, n_outside of the neighbourhoods that hold several components."""
+    by = around.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("n"))
+    per = by.groupBy("leader").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    return per.filter("n > top.n").select("leader", F.col("top.component").alias("top"), "n", (F.col("n") - F.col("top.n")).alias("n_outside"))
 
 
-def near_links(features: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: links between classes of equal sets, enough of them to join what is connected."""
-    spark = docs.sparkSession
-    classes = spool(features.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.first("signature").alias("signature")), "near-classes")
+def _in_blocks(around: DataFrame, sets: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """Each member outside with each block of all members of its neighbourhood; ``around``: leader, class, component, top, n, n_outside."""
+    rows = around.join(sets.select("class", *columns), "class")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(float(size))).cast("int")
+    own = F.pmod(F.xxhash64("class"), F.lit(1 << 30))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    kept = ["leader", "class", "component", *columns]
+    every = rows.select(*kept, F.lit(False).alias("outer"), spread("n_outside").alias("i"), F.pmod(own, blocks("n")).cast("int").alias("j"))
+    outer = rows.filter("component <> top").select(*kept, F.lit(True).alias("outer"), F.pmod(own, blocks("n_outside")).cast("int").alias("i"), spread("n").alias("j"))
+    return outer.unionByName(every)
+
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, place (a hash of where the row lies), text of a plain table."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*place(docs)).alias("place"), "text")
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """class, weight, prefix of the classes that may have a link: the postings that they share, without their most frequent MATCHES - 1."""
     posted = classes.select("class", F.explode("signature").alias("key"))
     frequent = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = posted.join(frequent, "key")
     live = shared.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("postings")).filter(F.size("postings") >= MATCHES)
-    live = spool(
-        live.select(
-            "class",
-            F.aggregate("postings", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("weight"),
-            F.transform(F.slice("postings", 1, F.size("postings") - (MATCHES - 1)), lambda x: x["key"]).alias("prefix"),
-        ),
-        "near-live",
+    return live.select(
+        "class",
+        F.aggregate("postings", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("weight"),
+        F.transform(F.slice("postings", 1, F.size("postings") - (MATCHES - 1)), lambda x: x["key"]).alias("prefix"),
     )
 
-    # The sets of what can have a link, from one reading of the texts by an id of each class, or where none has an id by a hash of a text.
-    wanted = live.select("class").join(classes.select("class", F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "place").alias("place")), "class")
-    texts = _placed(docs).select(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "place").alias("place"), "text")
+
+def near_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, root: the smallest class that links reach, of each class that has links to smaller ones.
+
+    ``classes``: class, place, signature; ``docs``: the plain table in which places lie.
+    """
+    live = spool(_postings(classes), "near-live")
+    wanted = live.select("class").join(classes.select("class", "place"), "class")
     if live.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    # An id (or hash) that several rows share finds all its texts; a set that isn't the class's own is dropped.
-    sets = texts.join(wanted, ["unnamed", "place"]).mapInArrow(_class_sets, "class long, set binary")
-    sets = spool(_own_sets(sets), "near-sets")
+    # One reading of the texts by a place of each class; a set that isn't the class's own is dropped.
+    sets = spool(_placed(docs).select("place", "text").join(wanted, "place").mapInArrow(_class_sets, "class long, signature binary, set binary"), "near-sets")
 
     lists = live.select("class", "weight", F.explode("prefix").alias("key"))
-    leaders = lists.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("leader"))
-    led = lists.join(leaders, "key").groupBy("class").agg(F.max("leader").alias("leader"))
-    led = spool(led.select("class", F.col("leader.class").alias("leader")), "near-leaders")
-    near = spool(_confirmed(led.filter("class <> leader").select(F.col("class").alias("a"), F.col("leader").alias("b")), sets), "near-links")
-    roots = components(near, "a", "b")
-    placed = spool(_with_components(led, roots), "near-placed")
-
-    # One neighbourhood, several components: blocks of those outside the leader's component against all.
-    home = placed.select(F.col("class").alias("leader"), F.col("component").alias("home"))
-    around = placed.join(home, "leader").withColumn("outside", F.col("component") != F.col("home"))
-    sizes = around.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.count_if("outside").alias("n_outside"), F.bool_or(F.col("class") == F.col("leader")).alias("led"))
-    sizes = sizes.filter("n_outside > 0 AND (n > 2 OR n = 2 AND NOT led)")  # a leader and its only follower have been compared
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK))).cast("int")
-    around = around.join(sizes.select("leader", blocks("n").alias("blocks"), blocks("n_outside").alias("outside_blocks")), "leader").join(sets, "class")
-    own = F.pmod(F.xxhash64("class"), F.lit(1 << 30))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    every = around.select("leader", spread("outside_blocks").alias("i"), F.pmod(own, F.col("blocks")).cast("int").alias("j"), "class", "component", "set", F.lit(False).alias("outer"))
-    outer = around.filter("outside").select("leader", F.pmod(own, F.col("outside_blocks")).cast("int").alias("i"), spread("blocks").alias("j"), "class", "component", "set", F.lit(True).alias("outer"))
-    within = outer.unionByName(every).groupBy("leader", "i", "j").applyInPandas(_block_links, "a long, b long")
-
-    # Lists that reach over neighbourhoods.
-    wide = lists.select("key", "class").join(placed, "class")
-    torn = wide.groupBy("key").agg(F.min("leader").alias("l0"), F.max("leader").alias("l1"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("l0 <> l1 AND c0 <> c1").select("key")
-    wide = spool(wide.join(torn, "key"), "near-wide")
-    x, y = wide.alias("x"), wide.alias("y")
-    over = x.join(y, F.expr("x.key = y.key AND x.class < y.class AND x.leader <> y.leader AND x.component <> y.component"))
-    over = over.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    signatures = classes.select("class", "signature")
-    over = over.join(signatures.toDF("a", "s"), "a").join(signatures.toDF("b", "t"), "b")
-    matches = F.size(F.filter(F.zip_with("s", "t", lambda p, q: p == q), lambda e: e))
-    over = _confirmed(over.filter(matches >= MATCHES).select("a", "b"), sets)
-    return near.unionByName(within).unionByName(over), classes
-
-
-def _own_sets(sets: DataFrame) -> DataFrame:
-    """Sets that hash to their class, one each."""
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, values = batch.column("class").to_pylist(), batch.column("set")
-            yield batch.filter(pa.array([class_of(np.frombuffer(v.as_buffer(), np.uint64)) == n for n, v in zip(names, values)], pa.bool_()))
-
-    return sets.mapInArrow(own, "class long, set binary").dropDuplicates(["class"])
+    heads = lists.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("head"))
+    around = spool(lists.join(heads, "key").groupBy("class", F.col("head.class").alias("leader")).agg(F.first("head.weight").alias("weight")), "near-around")
+
+    links = spool(_confirmed(around.groupBy(F.col("class").alias("a")).agg(F.max(F.struct("weight", "leader"))["leader"].alias("b")).filter("a <> b"), sets), "near-links")
+
+    def placed() -> DataFrame:
+        return spool(_with_components(around.select("leader", "class"), spool(components(links, "a", "b"), "near-roots")), "near-placed")
+
+    def add(found: DataFrame) -> None:
+        nonlocal links
+        links = links.unionByName(spool(found, "near-links"))
+
+    # All of a document's leaders.
+    rows = placed()
+    home = rows.filter("class = leader").select("leader", F.col("component").alias("home"))
+    add(_confirmed(rows.filter("class <> leader").join(home, "leader").filter("component <> home").select(F.col("class").alias("a"), F.col("leader").alias("b")), sets))
+
+    # Those outside the largest component with a few of its members.
+    rows = placed()
+    torn = spool(_torn(rows), "near-torn")
+    inside = rows.join(torn, "leader").filter("component = top")
+    pivots = [F.min(F.struct(F.xxhash64("class", F.lit(i)).alias("h"), F.col("class").alias("b")))["b"] for i in range(PIVOTS)]
+    pivots = spool(inside.groupBy("leader").agg(F.array_distinct(F.array(*pivots)).alias("pivots")), "near-pivots")
+    outside = rows.join(torn, "leader").filter("component <> top").select("leader", "class").join(pivots, "leader")
+    add(_confirmed(outside.select(F.col("class").alias("a"), F.explode("pivots").alias("b")).distinct(), sets))
+
+    # Blocks: collisions first, then the sets of what collides.
+    rows = placed()
+    rows = spool(rows.join(spool(_torn(rows), "near-torn"), "leader"), "near-torn-rows")
+    live_rows = spool(_in_blocks(rows, sets, ["signature"], WIDE_BLOCK).groupBy("leader", "i", "j").applyInPandas(_block_candidates, "leader long, class long").distinct(), "near-active")
+    active = rows.join(live_rows, ["leader", "class"])
+    sizes = spool(active.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("component") != F.col("top")).alias("n_outside")), "near-active-sizes")
+    active = active.drop("n", "n_outside").join(sizes, "leader")
+    add(_in_blocks(active, sets, ["signature", "set"], BLOCK).groupBy("leader", "i", "j").applyInPandas(_block_links, "a long, b long"))
+    return components(links, "a", "b")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, place, n_shingles, component_id, kept of a plain table's rows; see ``near_dedup``."""
+    spark = docs.sparkSession
+    with passing(spark) as keep:
+        features = _placed(docs).mapInArrow(_features, "doc_id long, place long, n_shingles long, class long, signature array<long>")
+        features = keep(spool(features.withColumn("part", F.spark_partition_id()), "near-features"))
+        classes = spool(features.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"), F.first("signature").alias("signature")), "near-classes")
+        roots = spool(near_links(classes.select("class", "place", "signature"), docs), "near-roots")
+        named = _with_components(classes.select("class", "doc_id"), roots)
+        least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = keep(spool(named.select("class", "component").join(least, "component").select("class", "component_id"), "near-named"))
+    # A class may hold a third of all rows: its name is looked up once for each task that has met it.
+    met = features.filter("class IS NOT NULL").select("part", "class").distinct().join(named, "class")
+    rows = features.select("doc_id", "place", "n_shingles", "part", "class").join(met, ["part", "class"], "left")
+    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.select("doc_id", "place", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -238,29 +293,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     a-z; a text of fewer words is one shingle). component_id is the smallest doc_id that links reach.
     Null and empty texts and texts without words have an empty set, no links, and themselves as
     component. Rows with a null doc_id link as texts but name no component unless one with an id is
-    reached, and stay. Repeated rows of one id are one document for linking. An empty table gives no
-    rows; other columns are ignored.
+    reached, and stay. Repeated rows have one component; rows of one id but unlike texts are judged each
+    on its own. Long texts count whole; an empty table gives no rows; other columns are ignored.
     """
-    features = spool(_placed(docs).mapInArrow(_features, "doc_id long, place long, n_shingles long, class long, signature array<long>"), "near-features")
-    links, classes = near_links(features, docs)
-    roots = components(links, "a", "b")
-    joined = roots.select("node").unionByName(roots.select(F.col("root").alias("node"))).distinct()
-    linked = _with_components(classes.select("class", "doc_id").join(joined.withColumnRenamed("node", "class"), "class"), roots)
-    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = linked.join(least, "component").select("class", "component_id")
-    named = classes.select("class", "doc_id").join(linked, "class", "left").select("class", F.coalesce("component_id", "doc_id").alias("component_id"))
-    rows = features.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _judged(stored(docs, ["doc_id", "text"], "near-docs")).drop("place")
 
 
 def unlike_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id ``near_dedup`` keeps, as they came; rows without an id stay."""
-    columns = docs.columns
-    goes = spool(near_dedup(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept").select(F.col("doc_id").alias("_id")), "near-goes")
-    if goes.count() <= BROADCAST_IDS:
-        goes = F.broadcast(goes)
-    return docs.join(goes, F.col("doc_id").cast("long") == F.col("_id"), "left_anti").select(*columns)
+    """The rows of ``docs`` that ``near_dedup`` keeps, as they came, whatever their columns are called."""
+    docs = stored(docs, docs.columns, "near-docs")
+    with passing(docs.sparkSession) as keep:
+        goes = keep(spool(_judged(docs).filter("NOT kept").select(F.col("place").alias("_place")), "near-goes"))
+    few = F.broadcast(goes) if goes.count() <= BROADCAST_IDS else goes
+    rows = docs.select(whole_row(docs).alias("_row"), F.xxhash64(*place(docs)).alias("_place"))
+    return rows.join(few, "_place", "left_anti").select("_row.*")
 
 
 def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
