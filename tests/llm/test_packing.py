@@ -21,7 +21,6 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -37,6 +36,16 @@ def test_ids_equal_the_tokenizer(reference):
     assert at == len(texts)
 
 
+def test_the_string_of_a_special_token():
+    def ids(encoder, text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return encoder.batch(data, np.array([0, len(data)]))[0].tolist()
+
+    assert ids(p.Encoder(), "a<|endoftext|>b") == [64, 50256, 65, 1]
+    assert ids(p.Encoder(), "a <|endoftext|> b") == [64, 220, 50256, 275, 1]
+    assert 50256 not in ids(p.Encoder(special_as_text=True), "a <|endoftext|> b")
+
+
 def check_packing(rows, window):
     for _, group in _by(rows, "sequence_id").items():
         group.sort(key=lambda r: r["offset"])

@@ -122,17 +122,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slots(df: DataFrame, group: list[str], order: list[str], out: str, name: str) -> DataFrame:
+def slots(df: DataFrame, group: list[str], order: list[str], out: str, name: str, keep: Callable[[DataFrame], DataFrame] = lambda laid: laid) -> DataFrame:
     """Adds ``out``: the row's place (from 0, without gaps) within its ``group`` by ``order``.
 
     A window over the group would put a hot group into one task. Here rows are dealt out by range of
     (group, order), numbered where they lie, and each piece of a group gets the sizes of the pieces
-    before it. ``df`` should be narrow and cheap to read twice (a spooled table).
+    before it. ``df`` should be narrow and cheap to read twice (a spooled table). The result reads one
+    table, which is given to ``keep``.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
-    laid = spool(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), name)
+    laid = keep(spool(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), name))
     laid = laid.withColumn("_piece", F.shiftrightunsigned("_at", 33))
     pieces = laid.groupBy("_piece", *group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

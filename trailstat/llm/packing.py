@@ -8,7 +8,7 @@ and what is left over is packed greedily, longest first. Only the histogram reac
 
 from __future__ import annotations
 
-import base64
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import documents, relation_paths, slots, spool
+from .common import documents, passing, place, slots, spool, stored
 from .textkit import pieces, segment_hashes
 
 WINDOW = 2048
@@ -32,17 +32,19 @@ class Encoder:
     """Byte-level BPE ids of many texts; each distinct chunk of a batch is encoded once.
 
     A chunk starts at a lone ASCII space between characters that are surely no white space: the
-    vocabulary's splitting pattern always cuts there, so a text's ids are those of its chunks.
+    vocabulary's splitting pattern always cuts there, and no special token holds a space, so a text's
+    ids are those of its chunks. The string of a special token gets that token's id, unless
+    ``special_as_text``.
     """
 
-    def __init__(self, ranks_path: str | None = None, pattern: str | None = None):
+    def __init__(self, tokenizer_path: str | None = None, special_as_text: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        tokenizer = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        tokenizer.encode_special_tokens = special_as_text
+        self.encode = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by END, and where each text's begin."""
@@ -52,7 +54,7 @@ class Encoder:
         names = segment_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
         _, where, which = np.unique(names, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        ids = [self.encode(raw[a:b].decode()) for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+        ids = self.encode([raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist())])
         ids.append([END])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         known = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
@@ -85,10 +87,10 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _encoders: dict = {}
 
 
-def _cut(ranks_path: str | None, window: int, extra: list[str]):
+def _cut(tokenizer_path: str | None, window: int, extra: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(ranks_path, None) or Encoder(ranks_path)
-        _encoders[ranks_path] = encoder
+        encoder = _encoders.setdefault(tokenizer_path, None) or Encoder(tokenizer_path)
+        _encoders[tokenizer_path] = encoder
         for batch, data, offsets in pieces(batches, max_bytes=4 << 20):
             ids, begin = encoder.batch(data, offsets)
             tokens = np.diff(begin)
@@ -108,14 +110,12 @@ def _cut(ranks_path: str | None, window: int, extra: list[str]):
     return cut
 
 
-def token_pieces(docs: DataFrame, window: int = WINDOW, ranks_path: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, file, row: each document's pieces of at most ``window`` ids."""
-    if relation_paths(docs):
-        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    else:
-        place = [F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *place)
-    return rows.mapInArrow(_cut(ranks_path, window, ["file", "row"]), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, file string, row long")
+    docs = stored(docs, ["doc_id", "text"], "pack-docs")
+    file, row = place(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", file.alias("file"), row.alias("row"))
+    return rows.mapInArrow(_cut(tokenizer_path, window, ["file", "row"]), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, file string, row long")
 
 
 def combinations(units: int, present: np.ndarray) -> np.ndarray:
@@ -246,7 +246,7 @@ def _placer(found: list[tuple[dict[int, int], int]]):
     return place_of
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, ranks_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its whole text and then END; a null or empty text is the one id END.
@@ -257,12 +257,13 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, rank
     units = window // unit
     if units * unit != window:
         raise ValueError("unit must divide window")
-    cut = spool(token_pieces(docs, window, ranks_path).withColumn("bin", F.ceil(F.col("length") / unit).cast("int")), "pack-pieces")
-    histogram = np.zeros(units + 1, np.int64)
-    for row in cut.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect():
-        histogram[row["bin"]] = row["n"]
-    place_of = _placer(plan(histogram, units))
-    ranked = slots(cut, ["bin"], ["file", "row", "start"], "rank", "pack-slots")
+    with passing(docs.sparkSession) as keep:
+        cut = spool(token_pieces(docs, window, tokenizer_path).withColumn("bin", F.ceil(F.col("length") / unit).cast("int")), "pack-pieces")
+        histogram = np.zeros(units + 1, np.int64)
+        for row in cut.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect():
+            histogram[row["bin"]] = row["n"]
+        place_of = _placer(plan(histogram, units))
+        ranked = slots(cut, ["bin"], ["file", "row", "start"], "rank", "pack-slots", keep)
     placed = ranked.withColumn("at", place_of("bin", "rank")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "at.sequence_id", "at.place")
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))
