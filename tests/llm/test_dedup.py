@@ -50,5 +50,20 @@ def test_distinct_documents_as_they_came(spark):
     assert got.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in awkward()})
 
 
+def test_rows_come_as_they_were_whatever_columns_are_called(spark):
+    names = ["doc_id", "text", "_file", "_at", "_row", "_metadata", "a.b", "file", "row", "digest", "kept"]
+    rows = [(i, t, *(f"{n}{i}" for n in names[2:])) for i, t in enumerate(["a b", "a  b", None, "", "c", "a\tb"])]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for d in (docs, spool(docs, "t")):
+        got = e.distinct_documents(d)
+        assert got.columns == names and sorted(map(str, map(tuple, got.collect()))) == sorted(str(rows[i]) for i in (0, 2, 4))
+
+
+def test_no_setting_of_the_session_changes(spark):
+    before = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    e.exact_dedup(table(spark)).count()
+    assert {r["key"]: r["value"] for r in spark.sql("SET").collect()} == before
+
+
 def test_empty_table(spark):
     assert e.exact_dedup(empty(spark)).count() == 0

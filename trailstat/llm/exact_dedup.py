@@ -8,12 +8,10 @@ different texts are resolved by the texts themselves.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, discard, documents, new_path, relation_paths, spool
+from .common import SPACE_RUN, documents, new_path, passing, place, relation_paths, spool, stored, whole_row
 
 STORE = "spark.sql.streaming.stateStore."
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,11 +23,6 @@ BROADCAST_ROWS = 100_000
 SALTED = 256
 
 
-def place(file: str, row: str) -> list[Column]:
-    """Where a row of a plain Parquet table lies."""
-    return [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
-
-
 def normalised(text: Column) -> Column:
     """Null as empty; each run of the six spaces as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " ")
@@ -39,18 +32,13 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-@contextmanager
-def _rocksdb(spark: SparkSession):
-    """The disk-backed state store, without files allocated ahead (a state may have very many partitions)."""
-    keys = {STORE + "providerClass": ROCKSDB, STORE + "rocksdb.allowFAllocate": "false"}
-    old = {k: spark.conf.get(k, None) for k in keys}
-    for k, v in keys.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def _with_rocksdb(spark: SparkSession) -> SparkSession:
+    """A session of its own with the disk-backed state store, without files allocated ahead (a state may have very many partitions)."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set(STORE + "providerClass", ROCKSDB)
+    own.conf.set(STORE + "rocksdb.allowFAllocate", "false")
+    return own
 
 
 def update_state(digests: DataFrame, state_path: str, files_per_trigger: int = 10_000) -> None:
@@ -59,20 +47,16 @@ def update_state(digests: DataFrame, state_path: str, files_per_trigger: int = 1
     Each micro-batch is pre-aggregated per task before it is dealt out by digest, so a digest that a
     third of all rows share costs its reducer one row per task.
     """
-    spark = digests.sparkSession
     (path,) = relation_paths(digests)
-    stream = spark.readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    stream = _with_rocksdb(digests.sparkSession).readStream.schema(digests.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("file"), F.col("row"))
     kept = stream.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
-    with _rocksdb(spark):
-        query = kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_path).trigger(availableNow=True).start()
-        query.awaitTermination()
+    kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_path).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_state(spark: SparkSession, state_path: str) -> DataFrame:
     """The state as a table: digest, first (no_id, doc_id, file, row), n."""
-    with _rocksdb(spark):
-        state = spark.read.format("statestore").option("path", state_path).load()
+    state = _with_rocksdb(spark).read.format("statestore").option("path", state_path).load()
     value = state.schema["value"].dataType.names
     return state.select(F.col("key.digest").alias("digest"), F.col(f"value.`{value[0]}`").alias("first"), F.col(f"value.`{value[1]}`").alias("n"))
 
@@ -86,31 +70,34 @@ def exact_dedup(docs: DataFrame, digest=sha256, files_per_trigger: int = 10_000)
     very long texts are read whole; other columns are ignored. ``digest`` may be any function of the
     normalised text: full bytes decide.
     """
-    if not relation_paths(docs):
-        docs = spool(docs.select("doc_id", "text"), "dedup-docs")
-    return _decided(docs, digest, files_per_trigger).drop("file", "row")
+    docs = stored(docs, ["doc_id", "text"], "dedup-docs")
+    with passing(docs.sparkSession) as keep:
+        return _decided(docs, digest, files_per_trigger, keep).drop("file", "row")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, as they came."""
-    columns = docs.columns
-    if not relation_paths(docs):
-        docs = spool(docs, "dedup-docs")
-    goes = spool(_decided(docs, sha256, 10_000).filter("NOT kept").select("file", "row"), "dedup-goes")
-    if goes.count() <= BROADCAST_ROWS:
-        goes = F.broadcast(goes)
-    placed = docs.select(*columns, *place("_file", "_row"))
-    return placed.join(goes.toDF("_file", "_row"), ["_file", "_row"], "left_anti").select(*columns)
-
-
-def _decided(docs: DataFrame, digest, files_per_trigger: int) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, as they came, whatever their columns are called."""
+    docs = stored(docs, docs.columns, "dedup-docs")
+    with passing(docs.sparkSession) as keep:
+        goes = keep(spool(_decided(docs, sha256, 10_000, lambda table: table).filter("NOT kept").select(F.col("file").alias("_file"), F.col("row").alias("_at")), "dedup-goes"))
+    few = F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes
+    file, row = place(docs)
+    rows = docs.select(whole_row(docs).alias("_row"), file.alias("_file"), row.alias("_at"))
+    return rows.join(few, ["_file", "_at"], "left_anti").select("_row.*")
+
+
+def _decided(docs: DataFrame, digest, files_per_trigger: int, keep) -> DataFrame:
+    """With file and row; the tables that the result reads are given to ``keep``."""
     spark = docs.sparkSession
-    at = place("file", "row")
+    at = [c.alias(name) for c, name in zip(place(docs), ("file", "row"))]
     text = normalised(F.col("text"))
-    digests = spool(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *at, text.alias("t")).select("doc_id", "file", "row", digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("text_sha256")), "dedup-digests")
+    normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *at, text.alias("t"))
+    digests = keep(spool(normal.select("doc_id", "file", "row", digest(F.col("t")).alias("digest"), sha256(F.col("t")).alias("text_sha256")), "dedup-digests"))
     state_path = new_path(spark, "dedup-state")
     update_state(digests, state_path, files_per_trigger)
-    groups = spool(read_state(spark, state_path), "dedup-groups")
+    groups = new_path(spark, "dedup-groups")
+    read_state(spark, state_path).write.parquet(groups)
+    groups = keep(spark.read.parquet(groups))
 
     placed = digests.join(groups, "digest")
     stays = F.col("file").eqNullSafe(F.col("first.file")) & F.col("row").eqNullSafe(F.col("first.row"))
@@ -124,12 +111,13 @@ def _decided(docs: DataFrame, digest, files_per_trigger: int) -> DataFrame:
     copies = spool(texts.join(copies, ["file", "row"]), "dedup-copies")
     kept = copies.filter("stays").select("digest", F.col("t").alias("kept_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     hits = copies.filter("NOT stays").select("digest", "t", F.pmod(F.xxhash64("file", "row"), F.col("parts")).alias("part"))
-    unequal = spool(hits.join(kept, ["digest", "part"]).filter(~F.col("t").eqNullSafe(F.col("kept_t"))).select("digest"), "dedup-unequal").distinct()
+    unequal = spool(hits.join(kept, ["digest", "part"]).filter(~F.col("t").eqNullSafe(F.col("kept_t"))).select("digest"), "dedup-unequal")
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "file", "row"]
     if unequal.isEmpty():
-        discard(copies)
         return result.select(*columns)
 
+    keep(copies)
+    unequal = keep(unequal).distinct()
     mixed = copies.drop("parts").join(unequal, "digest", "left_semi")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("file"), F.col("row"))
     exact = mixed.groupBy("text_sha256", "t").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
