@@ -8,31 +8,17 @@ from trailstat.llm import mixing as m
 from trailstat.llm.common import spool
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 0.9, "b": 0.07, "c": 0.03}, {str(i): i + 1 for i in range(37)}])
-def test_every_block_lies_in_its_window_and_no_source_strays_a_block(weights):
-    period = 256
-    share = m.shares(weights, period)
-    places = m.one_period(share, period)
-    assert sum(share.values()) == period and sorted(t for p in places.values() for t in p) == list(range(period))
-    for s, q in share.items():
-        assert len(places[s]) == q
-        for i, t in enumerate(places[s]):
-            assert i * period // q <= t < -(-(i + 1) * period // q)
-        done = 0
-        for t in range(1, period + 1):
-            done += (t - 1) in places[s]
-            assert abs(done - Fraction(q * t, period)) < 1
-
-
-def test_schedule_places_every_block_once_in_all_phases():
-    blocks, weights = {"a": 500, "b": 30, "c": 1, None: 7}, {"a": 1.0, "b": 2.0, "c": 5.0, None: 0.5}
-    plan = m.schedule(blocks, weights, 64)
-    slots = []
-    for s, phases in plan.items():
-        for k, (first, start, q, places) in enumerate(phases):
-            end = phases[k + 1][0] if k + 1 < len(phases) else blocks[s]
-            slots += [start + i // q * 64 + places[i % q] for i in range(end - first)]
-    assert sorted(slots) == list(range(sum(blocks.values())))
+def test_a_million_slots_stay_within_a_block_of_the_given_weights():
+    weights = {"a": Fraction(1, 3), "b": Fraction(1, 7), "c": Fraction(11, 21) - Fraction(1, 10**4), "d": Fraction(1, 10**4)}
+    assert sum(weights.values()) == 1
+    whole = m.whole_weights(weights)
+    total, done = sum(whole.values()), dict.fromkeys(weights, 0)
+    for t, (s, i, release, deadline) in zip(range(1, 10**6 + 1), m.pfair(dict.fromkeys(weights, 10**9), weights)):
+        assert i == done[s] and release < t <= deadline
+        done[s] += 1
+        if t % 7 == 0 or t > 10**6 - 100:
+            assert all(abs(done[x] * total - whole[x] * t) < total for x in weights)
+    assert done["d"] == 100
 
 
 def test_positions(spark):
@@ -92,6 +78,20 @@ def test_documents_come_whole_in_mixed_order(spark):
     assert mixed.columns == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_rows_come_as_they_were_whatever_columns_are_called(spark):
+    names = ["doc_id", "source", "position", "_position", "_file", "_at", "_row", "_metadata", "a.b", "file", "row", "h", "block"]
+    rows = [(i % 5 if i else None, f"s{i % 3}" if i % 4 else None, *(f"{n}{i}" for n in names[2:])) for i in range(40)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for d in (docs, spool(docs, "t")):
+        got = m.mixed_documents(d, block_rows=2)
+        assert got.columns == names and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows))
+
+
+def test_equal_ids_come_in_the_order_of_their_rows(spark):
+    docs = spool(spark.createDataFrame([(7, f"t{i}", None, "s", None, "", "", "") for i in range(50)], table(spark).schema).coalesce(1), "t")
+    assert [r["text"] for r in m.mixed_documents(docs, block_rows=4).collect()] == [f"t{i}" for i in range(50)]
+
+
 def test_weights_must_cover_the_sources(spark):
     with pytest.raises(ValueError):
         m.mix_positions(table(spark), weights={"s0": 1.0})

@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, relation_paths, slots, spool
+from .common import documents, new_path, passing, place, slots, spool, stored, whole_row
 
-PERIOD = 4096
 #: The plan is written in pieces of so many blocks.
 PLAN_BLOCKS = 1 << 18
 BLOCK_ROWS = 16
@@ -77,68 +76,13 @@ def pfair(blocks: Mapping, weights: Mapping) -> Iterator[tuple]:
             heapq.heappush(waiting, (following, k, i + 1))
 
 
-def shares(weights: Mapping, period: int = PERIOD) -> dict:
-    """Whole shares of ``period`` by largest remainder, at least 1 each; ties by name."""
-    names = sorted(weights, key=lambda s: (s is None, s or ""))
-    if not names:
-        return {}
-    if len(names) > period or min(weights.values()) <= 0:
-        raise ValueError("weights must be positive and no more than the period has slots")
-    total, room = sum(weights.values()), period - len(names)
-    exact = {s: weights[s] / total * room for s in names}
-    out = {s: 1 + int(exact[s]) for s in names}
-    for s in sorted(names, key=lambda s: (int(exact[s]) - exact[s], names.index(s)))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def one_period(share: Mapping, period: int = PERIOD) -> dict:
-    """For rounded shares, slots of each source's blocks within a period, by earliest deadline among released blocks."""
-    names = list(share)
-    release = lambda s, i: i * period // share[s]
-    due = lambda s, i: -(-(i + 1) * period // share[s])
-    waiting = [(0, k, 0) for k in range(len(names))]
-    heapq.heapify(waiting)
-    ready, places = [], {s: [] for s in names}
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(names[k], i), k, i))
-        _, k, i = heapq.heappop(ready)
-        places[names[k]].append(t)
-        if i + 1 < share[names[k]]:
-            heapq.heappush(waiting, (release(names[k], i + 1), k, i + 1))
-    return places
-
-
-def schedule(blocks: Mapping, weights: Mapping, period: int = PERIOD) -> dict:
-    """With shares rounded to a period (``mix`` uses exact weights), per source its phases: (first block, first slot, share, places in the period)."""
-    left, done, start = dict(blocks), dict.fromkeys(blocks, 0), 0
-    out = {s: [] for s in blocks}
-    left = {s: n for s, n in left.items() if n}
-    while left:
-        share = shares({s: weights[s] for s in left}, period)
-        places = one_period(share, period)
-        length = min((n - 1) // share[s] * period + places[s][(n - 1) % share[s]] + 1 for s, n in left.items())
-        turns, rest = divmod(length, period)
-        for s in list(left):
-            out[s].append((done[s], start, share[s], places[s]))
-            n = turns * share[s] + sum(p < rest for p in places[s])
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        start += length
-    return out
-
-
-def mix(rows: DataFrame, counts: Mapping, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mix(rows: DataFrame, counts: Mapping, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS, keep=lambda plan: plan) -> DataFrame:
     """``rows`` have source and source_row (place in the source); adds block, slot, release, deadline and position.
 
     release and deadline: the slots between which the block's weight wants it.
     """
     spark = rows.sparkSession
-    plan = _written(spark, _placed(counts, weights or {s: n**FLATTENING for s, n in counts.items()}, block_rows))
+    plan = keep(_written(spark, _placed(counts, weights or {s: n**FLATTENING for s, n in counts.items()}, block_rows)))
     at = (F.col("r.source").eqNullSafe(F.col("p.source"))) & (F.col("r.block") == F.col("p.block"))
     joined = rows.withColumn("block", F.expr(f"source_row div {block_rows}")).alias("r").join(plan.alias("p"), at)
     return joined.select("r.*", "p.slot", "p.release", "p.deadline", (F.col("p.first") + F.expr(f"r.source_row % {block_rows}")).alias("position"))
@@ -173,31 +117,38 @@ def mix_positions(docs: DataFrame, weights: Mapping | None = None, block_rows: i
 
     ``weights``: target weight by source; a source of the table without one is an error. Within a
     source documents come in the order of a hash of their id, so blocks are fair samples; equal ids
-    keep any order between them. A null source is a source of its own; texts (null, empty, very long)
-    aren't read; an empty table gives no rows; other columns are ignored.
+    come in the order of files and rows. A null source is a source of its own; texts (null, empty, very
+    long) aren't read; an empty table gives no rows; other columns are ignored.
     """
-    rows = spool(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")), "mix")
-    counts = _counts(rows)
+    docs = stored(docs, ["doc_id", "source"], "mix-docs")
+    with passing(docs.sparkSession) as keep:
+        rows = _mixed(docs, weights, block_rows, keep)
+    return rows.select("doc_id", "source", "source_row", "block", "slot", "release", "deadline", "position")
+
+
+def _mixed(docs: DataFrame, weights: Mapping | None, block_rows: int, keep) -> DataFrame:
+    """As ``mix_positions``, with file and row; the tables that the result reads are given to ``keep``."""
+    file, row = place(docs)
+    doc_id = F.col("doc_id").cast("long")
+    narrow = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(doc_id).alias("h"), file.alias("file"), row.alias("row"))
+    narrow = spool(narrow, "mix")
+    counts = _counts(narrow)
     if weights and (missing := set(counts) - set(weights)):
         raise ValueError(f"no weight for {sorted(map(str, missing))}")
-    ranked = slots(rows, ["source"], ["h", "doc_id"], "source_row", "mix-slots").drop("h")
-    return mix(ranked, counts, weights, block_rows).select("doc_id", "source", "source_row", "block", "slot", "release", "deadline", "position")
+    ranked = slots(narrow, ["source"], ["h", "doc_id", "file", "row"], "source_row", "mix-slots", keep)
+    return mix(ranked, counts, weights, block_rows, keep)
 
 
 def mixed_documents(docs: DataFrame, weights: Mapping | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All rows and columns of ``docs`` in mixed order: partitions, and rows within them, follow the position."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = docs.columns
-    if not relation_paths(docs):
-        docs = spool(docs, "mix-docs")
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    narrow = docs.select(F.col("source").cast("string").alias("source"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), *place)
-    narrow = spool(narrow, "mix")
-    counts = _counts(narrow)
-    ranked = slots(narrow, ["source"], ["h", "_file", "_row"], "source_row", "mix-slots")
-    places = mix(ranked, counts, weights, block_rows).select("_file", "_row", "position")
-    whole = docs.select(*columns, *place).join(places, ["_file", "_row"])
-    return whole.repartitionByRange(n, "position").sortWithinPartitions("position").select(*columns)
+    """All rows of ``docs`` as they came, whatever their columns are called, in mixed order: partitions, and rows within them, follow the position."""
+    spark = docs.sparkSession
+    docs = stored(docs, docs.columns, "mix-docs")
+    with passing(spark) as keep:
+        places = _mixed(docs, weights, block_rows, keep).select(F.col("file").alias("_file"), F.col("row").alias("_at"), F.col("position").alias("_position"))
+    file, row = place(docs)
+    whole = docs.select(whole_row(docs).alias("_row"), file.alias("_file"), row.alias("_at")).join(places, ["_file", "_at"])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return whole.repartitionByRange(n, "_position").sortWithinPartitions("_position").select("_row.*")
 
 
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

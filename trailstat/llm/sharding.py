@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import documents, slots, spool
+from .common import documents, passing, slots, spool
 
 MULTIPLIER = np.uint64(2862933555777941757)
 
@@ -59,8 +59,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
         jump_udf(n_shards)(key).alias("shard"),
         jump_udf(n_shards + 1)(key).alias("grown_shard"),
     )
-    rows = spool(rows, "shard")
-    placed = slots(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot", "shard-slots")
+    with passing(docs.sparkSession) as keep:
+        placed = slots(spool(rows, "shard"), ["shard"], ["doc_id", "text_crc32", "size"], "slot", "shard-slots", keep)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
