@@ -36,8 +36,8 @@ SIMILAR_PERCENT = 75
 COORDINATES = 64
 #: At a similarity of 0.75 a pair has fewer matches than this with a chance of about 1 in 200,000.
 MATCHES = 32
-#: Documents of a block whose sets are compared, and of one whose signatures are (4 MB of flags a pair of blocks).
-BLOCK, WIDE_BLOCK = 512, 2048
+#: Documents of a block whose sets are compared, and of one whose signatures are.
+BLOCK, WIDE_BLOCK = 512, 1024
 #: Members of the largest component around a leader that the others are compared with before any block is.
 PIVOTS = 8
 #: Places of rows up to this many are sent to all executors (16 bytes each); more are joined by a shuffle.
@@ -162,10 +162,12 @@ def _block_links(block: pd.DataFrame) -> pd.DataFrame:
     outside, inside, found = _collisions(block)
     parent = {c: c for c in [*outside["component"], *inside["component"]]}
     sets = [np.frombuffer(s, np.uint64) for s in inside["set"]]
+    sizes = np.array([len(s) for s in sets])
     names, groups = inside["class"].to_numpy(), inside["component"].to_numpy()
     for candidates, name, group, own in zip(found, outside["class"], outside["component"], outside["set"]):
         own = np.frombuffer(own, np.uint64)
-        for j in np.flatnonzero(candidates):
+        # Sets of too unlike sizes can't be links.
+        for j in np.flatnonzero(candidates & similar(np.minimum(len(own), sizes), len(own), sizes)):
             x, y = _find(parent, group), _find(parent, groups[j])
             if x != y:
                 places = np.searchsorted(own, sets[j])
