@@ -43,7 +43,7 @@ def test_the_string_of_a_special_token():
 
     assert ids(p.Encoder(), "a<|endoftext|>b") == [64, 50256, 65, 1]
     assert ids(p.Encoder(), "a <|endoftext|> b") == [64, 220, 50256, 275, 1]
-    assert 50256 not in ids(p.Encoder(special_as_text=True), "a <|endoftext|> b")
+    assert 50256 not in ids(p.Encoder(special={}), "a <|endoftext|> b")
 
 
 def check_packing(rows, window):

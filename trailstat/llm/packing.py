@@ -8,9 +8,10 @@ and what is left over is packed greedily, longest first. Only the histogram reac
 
 from __future__ import annotations
 
-import os
+import base64
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from itertools import chain
 
 import numpy as np
@@ -33,18 +34,21 @@ class Encoder:
 
     A chunk starts at a lone ASCII space between characters that are surely no white space: the
     vocabulary's splitting pattern always cuts there, and no special token holds a space, so a text's
-    ids are those of its chunks. The string of a special token gets that token's id, unless
-    ``special_as_text``.
+    ids are those of its chunks. The vocabulary comes as ranks, its special tokens from the JSON file: the
+    string of a special token gets that token's id. ``special`` takes other ones (or none).
     """
 
-    def __init__(self, tokenizer_path: str | None = None, special_as_text: bool = False):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    def __init__(self, ranks_path: str | None = None, special: Mapping[str, int] | None = None):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        tokenizer = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
-        tokenizer.encode_special_tokens = special_as_text
-        self.encode = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if special is None:
+            with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+                special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
+        self.encode = lambda text: own.encode(text, allowed_special="all") if any(x in text for x in special) else own.encode_ordinary(text)
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by END, and where each text's begin."""
@@ -54,7 +58,7 @@ class Encoder:
         names = segment_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
         _, where, which = np.unique(names, return_index=True, return_inverse=True)
         raw = data.tobytes()
-        ids = self.encode([raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist())])
+        ids = [self.encode(raw[a:b].decode()) for a, b in zip(starts[where].tolist(), ends[where].tolist())]
         ids.append([END])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         known = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
@@ -87,10 +91,10 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _encoders: dict = {}
 
 
-def _cut(tokenizer_path: str | None, window: int, extra: list[str]):
+def _cut(ranks_path: str | None, window: int, extra: list[str]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer_path, None) or Encoder(tokenizer_path)
-        _encoders[tokenizer_path] = encoder
+        encoder = _encoders.setdefault(ranks_path, None) or Encoder(ranks_path)
+        _encoders[ranks_path] = encoder
         for batch, data, offsets in pieces(batches, max_bytes=4 << 20):
             ids, begin = encoder.batch(data, offsets)
             tokens = np.diff(begin)
@@ -110,12 +114,12 @@ def _cut(tokenizer_path: str | None, window: int, extra: list[str]):
     return cut
 
 
-def token_pieces(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, window: int = WINDOW, ranks_path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, file, row: each document's pieces of at most ``window`` ids."""
     docs = stored(docs, ["doc_id", "text"], "pack-docs")
     file, row = place(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", file.alias("file"), row.alias("row"))
-    return rows.mapInArrow(_cut(tokenizer_path, window, ["file", "row"]), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, file string, row long")
+    return rows.mapInArrow(_cut(ranks_path, window, ["file", "row"]), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, file string, row long")
 
 
 def combinations(units: int, present: np.ndarray) -> np.ndarray:
@@ -246,7 +250,7 @@ def _placer(found: list[tuple[dict[int, int], int]]):
     return place_of
 
 
-def pack_documents(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, tokenizer_path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, ranks_path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its whole text and then END; a null or empty text is the one id END.
@@ -258,7 +262,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, toke
     if units * unit != window:
         raise ValueError("unit must divide window")
     with passing(docs.sparkSession) as keep:
-        cut = spool(token_pieces(docs, window, tokenizer_path).withColumn("bin", F.ceil(F.col("length") / unit).cast("int")), "pack-pieces")
+        cut = spool(token_pieces(docs, window, ranks_path).withColumn("bin", F.ceil(F.col("length") / unit).cast("int")), "pack-pieces")
         histogram = np.zeros(units + 1, np.int64)
         for row in cut.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect():
             histogram[row["bin"]] = row["n"]
