@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json
 from ..functions.scalars import session_of, token, words
-from .ranking import latest_before, running_count
+from .ranking import hash_rank, latest_before, running_count
 from .rules import classify, strip, tool_class
 
 # Fixed values of the two transcript formats.
@@ -190,6 +190,19 @@ def review_queue(rows: DataFrame) -> DataFrame:
     return found.orderBy(F.when(F.col("review_priority") == "high", 0).otherwise(1), "station_id", "episode_id")
 
 
+def queue_places(queue: DataFrame) -> DataFrame:
+    """Adds ``place`` from 1: rows are counted by priority and station, and numbered within these."""
+    high = F.when(F.col("review_priority") == "high", 0).otherwise(1)
+    rows = queue.withColumn("_high", high)
+    sizes = rows.groupBy("_high", "station_id").agg(F.count(F.lit(1)).alias("_n"))
+    # A row a priority and station: few enough for one task.
+    before = Window.orderBy("_high", "station_id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    # Episode ids are a mark and a hash: ranked in buckets of their leading digits, so no station is one task.
+    ranked = hash_rank(rows.withColumn("_hash", F.substring("episode_id", 5, 20)), ["_high", "station_id"], "_hash", "episode_id", "_row")
+    return ranked.join(sizes, ["_high", "station_id"]).withColumn("place", F.col("_row") + F.col("_before")).drop("_high", "_hash", "_row", "_before")
+
+
 def disposition_rollup(rows: DataFrame, disposition: str = "automated_disposition") -> DataFrame:
     """Counts by (station, provider, disposition), and by station over all providers."""
     by = F.explode(F.array(F.col("provider"), F.lit("ALL"))).alias("provider")
