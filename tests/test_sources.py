@@ -86,8 +86,11 @@ def test_boundary(spark):
     df = spark.createDataFrame(texts, "label string, text string")
     got = {(r["label"], r["finding"]) for r in boundary.text_findings(df, field_names=True).collect()}
     assert got == {("p", "absolute path"), ("e", "email"), ("k", "AWS access key"), ("g", "GitHub token"), ("i", "row identifier"), ("w", "absolute path (drive)"), ("f", "row-level field prompt_text")}
-    paths = spark.createDataFrame([("data/raw/x.csv",), ("raw.csv",), ("a/balanced_strata.csv",), ("ok/x",)], "path string")
-    assert {(r["path"], r["finding"]) for r in boundary.path_findings(paths).collect()} == {("data/raw/x.csv", "forbidden folder"), ("a/balanced_strata.csv", "forbidden file")}
+    paths = spark.createDataFrame([("data/raw/x.csv",), ("raw.csv",), ("a/balanced_strata.csv",), ("ok/x.md",), ("Raw/x.csv",), ("a/PROMPTS",), ("a/b.local.csv",), ("a/b.exe",), ("LICENSE",), (".gitignore",), ("w.xlsx",)], "path string")
+    assert {(r["path"], r["finding"]) for r in boundary.path_findings(paths).collect()} == {
+        ("data/raw/x.csv", "forbidden folder"), ("a/balanced_strata.csv", "forbidden file"), ("Raw/x.csv", "forbidden folder"), ("a/PROMPTS", "forbidden folder"),
+        ("a/PROMPTS", "unapproved file type"), ("a/b.local.csv", "forbidden file"), ("a/b.exe", "unapproved file type"),
+    }
     heads = spark.createDataFrame([("t", ["episode_id", "metric"]), ("u", ["metric"])], "label string, columns array<string>")
     assert [(r["label"], r["finding"]) for r in boundary.header_findings(heads).collect()] == [("t", "episode_id")]
     nested = spark.createDataFrame([("j", '{"a": [{"b": {"session_ref": 1}}]}'), ("n", "no json"), ("z", None)], "label string, text string")
@@ -102,3 +105,8 @@ def test_workbook_members(spark, tmp_path):
     assert {r["label"] for r in rows.collect()} == {"w.xlsx!xl/sheet.xml", "w.xlsx!xl/vbaProject.bin"}
     assert {r["finding"] for r in boundary.text_findings(rows).collect()} == {"email"}
     assert rows.filter(F.col("label").contains("vbaProject")).count() == 1
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    with zipfile.ZipFile(tmp_path / "l.xlsx", "w") as z:
+        z.writestr("xl/externalLinks/externalLink1.xml", "<x/>")
+    found = boundary.workbook_findings(readers.workbook_texts(spark, str(tmp_path)), readers.archives(spark, str(tmp_path)))
+    assert {(r["label"], r["finding"]) for r in found.collect()} == {("w.xlsx", "workbook macro"), ("w.xlsx!xl/sheet.xml", "email"), ("l.xlsx", "external workbook link"), ("bad.xlsx", "invalid xlsx container")}

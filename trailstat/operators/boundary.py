@@ -24,6 +24,11 @@ ROW_LEVEL_FIELDS = (
     "episode_id", "prompt_text", "prompt_excerpt", "session_ref", "source_ref", "timestamp_start_utc", "timestamp_end_utc",
     "tool_trace_json", "target_ref", "sample_link_id", "mapping_id", "prior_ce_episode_id",
 )
+TEXT_SUFFIXES = (".cff", ".csv", ".json", ".md", ".py", ".sha256", ".txt", ".yml", ".yaml")
+TEXT_FILES = (".gitattributes", ".gitignore", "LICENSE")
+WORKBOOK_SUFFIX, LOCAL_SUFFIX = ".xlsx", ".local.csv"
+#: Where fields of rows may be named: documentation and programs.
+NAMING_SUFFIXES = (".md", ".py")
 FORBIDDEN_FOLDERS = ("raw", "restricted", "interim", "prompts")
 FORBIDDEN_FILES = ("balanced_strata.csv", "primary_balanced_rows.csv", "unrestricted_balanced_rows.csv", "inheritance_candidate_map.csv", "extended_multistation_context_episode_review.local.csv")
 
@@ -36,12 +41,54 @@ def text_findings(texts: DataFrame, field_names: bool = False) -> DataFrame:
     return texts.select("label", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("finding"))
 
 
+def _name(path: str = "path"):
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def suffix(path: str = "path"):
+    """The last ending of a path's file name, in lower case; none where the only dot is its first character."""
+    return F.lower(F.regexp_extract(_name(path), r"(?<=.)\.[^.]+$", 0))
+
+
 def path_findings(paths: DataFrame) -> DataFrame:
-    """path, finding for relative paths in forbidden folders or with forbidden names."""
-    parts = F.split("path", "/")
-    folder = F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.isin(*FORBIDDEN_FOLDERS))
-    found = F.array(F.when(folder, "forbidden folder"), F.when(F.element_at(parts, -1).isin(*FORBIDDEN_FILES), "forbidden file"))
-    return paths.select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("finding"))
+    """path, finding for relative paths with a forbidden part (in any case, file names included), a forbidden name, or a type that isn't let out."""
+    forbidden = F.exists(F.split(F.lower("path"), "/"), lambda p: p.isin(*FORBIDDEN_FOLDERS))
+    rows = F.col("_name").isin(*FORBIDDEN_FILES) | F.col("_name").endswith(LOCAL_SUFFIX)
+    type_ = ~F.col("_suffix").isin(*TEXT_SUFFIXES, WORKBOOK_SUFFIX) & ~F.col("_name").isin(*TEXT_FILES)
+    found = F.array(F.when(forbidden, "forbidden folder"), F.when(rows, "forbidden file"), F.when(type_, "unapproved file type"))
+    rows = paths.withColumns({"_name": _name(), "_suffix": suffix()})
+    return rows.select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("finding"))
+
+
+def file_findings(files: DataFrame) -> DataFrame:
+    """path, finding of files (path, text): paths, patterns, row-level fields in texts, CSV headers and JSON keys, JSON that isn't any.
+
+    Workbooks are read by their members (``workbook_findings``).
+    """
+    texts = files.withColumns({"_suffix": suffix(), "_name": _name()}).filter(F.col("_suffix").isin(*TEXT_SUFFIXES) | F.col("_name").isin(*TEXT_FILES))
+    labelled = texts.select(F.col("path").alias("label"), "text", "_suffix")
+    may_name = F.col("_suffix").isin(*NAMING_SUFFIXES)
+    plain = text_findings(labelled)
+    named = labelled.filter(~may_name & F.col("text").rlike("|".join(ROW_LEVEL_FIELDS))).select("label", F.lit("possible row-level field name").alias("finding"))
+    csv = labelled.filter("_suffix = '.csv'").select("label", F.transform(F.split(F.regexp_extract("text", "^[^\r\n]*", 0), ","), lambda x: F.regexp_replace(x, '^"|"$', "")).alias("columns"))
+    leaked = F.array_intersect(F.array_sort("columns"), F.array(*[F.lit(f) for f in ROW_LEVEL_FIELDS]))
+    csv = csv.withColumn("_leaked", leaked).filter(F.size("_leaked") > 0).select("label", F.concat(F.lit("row-level columns "), F.array_join("_leaked", ", ")).alias("finding"))
+    json = labelled.filter("_suffix = '.json'")
+    invalid = json.filter(F.try_parse_json("text").isNull()).select("label", F.lit("invalid JSON").alias("finding"))
+    keys = json_findings(json).groupBy("label").agg(F.concat(F.lit("row-level JSON keys "), F.array_join(F.array_sort(F.collect_set("finding")), ", ")).alias("finding"))
+    found = plain.unionByName(named).unionByName(csv).unionByName(invalid).unionByName(keys)
+    return path_findings(files).unionByName(found.select(F.col("label").alias("path"), "finding")).distinct()
+
+
+def workbook_findings(members: DataFrame, archives: DataFrame) -> DataFrame:
+    """label, finding of workbooks: links to others, macros, what their texts hold, and archives that are none.
+
+    ``members``: archive, member, label, text; ``archives``: archive, is_zip.
+    """
+    link = members.filter(F.col("member").startswith("xl/externalLinks/")).select(F.col("archive").alias("label"), F.lit("external workbook link").alias("finding"))
+    macro = members.filter(F.col("member").endswith("vbaProject.bin")).select(F.col("archive").alias("label"), F.lit("workbook macro").alias("finding"))
+    bad = archives.filter("NOT is_zip").select(F.col("archive").alias("label"), F.lit("invalid xlsx container").alias("finding"))
+    return link.unionByName(macro).unionByName(bad).unionByName(text_findings(members, field_names=True)).distinct()
 
 
 def header_findings(headers: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cohort import STRATUM
+from .linkage import HIGH
 
 TOLERANCE = 1e-12
 
@@ -36,7 +37,7 @@ def link_invariants(rows: DataFrame) -> DataFrame:
             _count(links, "one row an arm", F.col("ce") != 1),
             _count(links, "one stratum a link", torn),
             _count(rows, "actions above 0", F.col("actions") <= 0),
-            _count(rows, "minutes per action", F.abs(F.col("min_per_action") - F.col("duration_min") / F.col("actions")) > TOLERANCE),
+            _count(rows, "minutes per action", F.abs(F.col("min_per_action") - F.col("duration_min") / F.nullif(F.col("actions"), F.lit(0))) > TOLERANCE),
             _count(rows, "multistage agrees", (F.col("multistage_signal") == 1) != (stages >= 2)),
             _count(rows, "primary context rows frontloaded", (F.col("analysis_set") == "primary_frontloaded") & (F.col("arm") == "ce") & ~F.col("frontloaded")),
         ]
@@ -73,7 +74,7 @@ def curve_checks(links: DataFrame, curve: DataFrame) -> DataFrame:
         [
             _count(pairs, "curve never falls", F.col("a.candidate_positive") > F.col("b.candidate_positive")),
             _count(curve, "unresolved", F.col("unresolved") != F.col("eligible_rows") - F.col("candidate_positive")),
-            _count(links, "high tier has window 0", (F.col("evidence_tier") == "HIGH") & (F.coalesce(F.col("minimum_link_window"), F.lit(-1)) != 0)),
+            _count(links, "high tier has window 0", (F.col("evidence_tier") == HIGH) & (F.coalesce(F.col("minimum_link_window"), F.lit(-1)) != 0)),
         ]
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_rank, token
@@ -44,20 +44,25 @@ def balance(ce: DataFrame, comparison: DataFrame, stratum: Sequence[str] = STRAT
     """stratum, rank, ce_id, comparison_id, sample_link_id: rows of equal hash rank in a stratum are a pair."""
     ranked = lambda df, name: hash_rank(df.select(*stratum, F.col("episode_id").alias(name), stable_rank(F.col("episode_id")).alias("h")), stratum, "h", name).drop("h")
     pairs = ranked(ce, "ce_id").join(ranked(comparison, "comparison_id"), [*stratum, "rank"])
-    key = F.format_string("('%s', '%s', '%s')|%d", *[F.col(c) for c in stratum], F.col("rank"))
-    return pairs.withColumn("sample_link_id", token("LINK", key, digits=16))
+    return pairs.withColumn("sample_link_id", link_id(stratum))
+
 
+def both_sets(rows: DataFrame, stratum: Sequence[str] = STRATUM) -> DataFrame:
+    """Balanced rows of the unrestricted and of the primary (frontloaded) set, with analysis_set, arm, rank and sample_link_id.
 
-def balanced_rows(rows: DataFrame, pairs: DataFrame, analysis_set: str) -> DataFrame:
-    """Two rows a pair, one for each arm, with the episode's columns."""
-    long = pairs.select("sample_link_id", F.explode(F.array(F.struct(F.lit("ce").alias("arm"), F.col("ce_id").alias("id")), F.struct(F.lit("comparison").alias("arm"), F.col("comparison_id").alias("id")))).alias("x"))
-    long = long.select("sample_link_id", "x.arm", F.col("x.id").alias("episode_id"))
-    return rows.join(long, "episode_id").withColumn("analysis_set", F.lit(analysis_set))
+    One pass: a row is in the sample when its hash rank in its set, arm and stratum is no more than both
+    arms have there, so no arm is joined to the other. ``rows`` should be cheap to read twice.
+    """
+    primary = F.when((F.col("cohort") != CE_LABEL) | F.col("frontloaded"), F.lit("primary_frontloaded"))
+    tagged = rows.withColumn("analysis_set", F.explode(F.array_compact(F.array(F.lit("unrestricted"), primary))))
+    group = ["analysis_set", *stratum]
+    ce = F.col("cohort") == CE_LABEL
+    both = tagged.groupBy(*group).agg(F.least(F.count_if(ce), F.count_if(~ce)).alias("_k")).filter("_k > 0")
+    ranked = hash_rank(tagged.withColumn("_h", stable_rank(F.col("episode_id"))), [*group, "cohort"], "_h", "episode_id").drop("_h")
+    chosen = ranked.join(both, group).filter("rank <= _k").drop("_k")
+    return chosen.withColumn("arm", F.when(ce, "ce").otherwise("comparison")).withColumn("sample_link_id", link_id(stratum))
 
 
-def both_sets(rows: DataFrame) -> DataFrame:
-    """Balanced rows of the unrestricted and of the primary (frontloaded) set."""
-    out = []
-    for name, primary in (("unrestricted", False), ("primary_frontloaded", True)):
-        out.append(balanced_rows(rows, balance(*arms(rows, primary)), name))
-    return out[0].unionByName(out[1])
+def link_id(stratum: Sequence[str]) -> Column:
+    key = F.format_string("('%s', '%s', '%s')|%d", *[F.col(c) for c in stratum], F.col("rank"))
+    return token("LINK", key, digits=16)

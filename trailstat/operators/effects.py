@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sign_test
@@ -15,22 +15,27 @@ RATIO = ("duration_min", "completed_substantive_actions", "min_per_action")
 DEAD_BAND = 1e-12
 
 
-def arm_effects(rows: DataFrame, by: Sequence[str], ratio_scale: str = "ratio_of_condition_medians") -> DataFrame:
+def arm_effects(rows: DataFrame, by: Sequence[str], ratio_scale: str = "ratio_of_condition_medians", stations: bool = False, strict: bool = False) -> DataFrame:
     """``by``, metric, effect_scale, ce_value, comparison_value, effect, rows_per_condition.
 
     Binary metrics: difference of rates. Ratio metrics: quotient of exact medians, null when the
     comparison median isn't above 0. An arm without rows gives null. One aggregation over all metrics:
-    the medians keep a count of each distinct value, not the rows.
+    the medians keep a count of each distinct value, not the rows. ``stations``: also how many contribute.
+    ``strict``: arms of unequal size are an error when the rows are read.
     """
     ce, other = F.col("arm") == "ce", F.col("arm") == "comparison"
-    aggs = [F.count_if(ce).alias("n")]
+    n = F.count_if(ce)
+    if strict:
+        n = F.when(F.count_if(ce) == F.count_if(other), n).otherwise(F.raise_error(F.lit("arms of unequal size")).cast("long"))
+    aggs = [n.alias("n")] + ([F.size(F.collect_set("station_id")).cast("long").alias("contributing_stations")] if stations else [])
+    more = ["contributing_stations"] if stations else []
     for m in BINARY:
         aggs += [F.avg(F.when(ce, F.col(m))).alias(f"ce_{m}"), F.avg(F.when(other, F.col(m))).alias(f"cmp_{m}")]
     for m in RATIO:
         aggs += [F.median(F.when(ce, F.col(m))).alias(f"ce_{m}"), F.median(F.when(other, F.col(m))).alias(f"cmp_{m}")]
     wide = rows.groupBy(*by).agg(*aggs)
     cells = [F.struct(F.lit(m).alias("metric"), F.lit("risk_difference" if m in BINARY else ratio_scale).alias("effect_scale"), F.col(f"ce_{m}").alias("ce_value"), F.col(f"cmp_{m}").alias("comparison_value")) for m in (*BINARY, *RATIO)]
-    long = wide.select(*by, "n", F.explode(F.array(*cells)).alias("c")).select(*by, "c.*", F.col("n").alias("rows_per_condition"))
+    long = wide.select(*by, "n", *more, F.explode(F.array(*cells)).alias("c")).select(*by, "c.*", F.col("n").alias("rows_per_condition"), *more)
     ratio = F.when(F.col("comparison_value") > 0, F.col("ce_value") / F.col("comparison_value"))
     return long.withColumn("effect", F.when(F.col("effect_scale") == "risk_difference", F.col("ce_value") - F.col("comparison_value")).otherwise(ratio))
 
@@ -66,8 +71,8 @@ def action_bins(rows: DataFrame, by: Sequence[str], bins: Sequence[tuple[str, in
     ce, other = F.col("arm") == "ce", F.col("arm") == "comparison"
     hit = F.col(metric) == 1
     cells = rows.withColumn("action_bin", label).filter("action_bin IS NOT NULL").groupBy(*by, "action_bin").agg(F.count_if(ce & hit).alias("ce_k"), F.count_if(ce).alias("ce_n"), F.count_if(other & hit).alias("comparison_k"), F.count_if(other).alias("comparison_n"))
-    totals = cells.groupBy(*by).agg(F.sum("comparison_n").alias("_all"), F.sum("ce_n").alias("_ce"))
-    out = cells.join(totals, list(by)) if by else cells.crossJoin(totals)  # totals: one row
+    over = Window.partitionBy(*by)  # a row a bin
+    out = cells.withColumns({"_all": F.sum("comparison_n").over(over), "_ce": F.sum("ce_n").over(over)})
     for a in ("ce", "comparison"):
         out = out.withColumn(f"{a}_rate", F.when(F.col(f"{a}_n") > 0, F.col(f"{a}_k") / F.col(f"{a}_n")))
     if strict:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import LINKAGE_SALT, token, yes
 from .ranking import latest_before
 
 # Dispositions that make a row a predecessor, thresholds, classes, windows and patterns.
@@ -14,12 +15,13 @@ CE_DISPOSITIONS = ("candidate_strong", "candidate_probable")
 COMPARISON_DISPOSITION = "exclude_no_context_operation"
 SHORT_WORDS, CUE_DISTANCE, NEAR_DISTANCE = 30, 20, 3
 WINDOWS = (5, 10, 20, 50, 106)
-CUES = (
-    "continue", "again", "same", "previous", "prior", "original", "current", "above", "what (?:we|you) (?:built|did)", "what we built",
-    "these", "those", "this", "that", "it", "them", "findings", "rest", "next", "rerun", "re-run", "retest", "re-audit", "fix", "update",
-    "apply", "verify", "audit", "complete", "finish", "keep going", "go ahead", "do it", "start building", "still", "more", "all of it",
-    "everything found", "one more",
-)
+HIGH, PROBABLE = "HIGH_CONFIDENCE_CANDIDATE", "PROBABLE_CANDIDATE"
+RULE_VERSION = "ce-inheritance-map/2.0.0-action-eligible-pilot"
+CUE = (
+    r"\b(?:continue|again|same|previous|prior|original|current|above|what (?:we|you) (?:built|did)|what we built|these|those|this|that|it|them|"
+    r"findings|rest|next|rerun|re-run|retest|re-audit|fix|update|apply|verify|audit|complete|finish|keep going|go ahead|do it|start building|"
+    r"still|more|all of it|everything found|one more)\b"
+)
 TICKET = r"(?U)\b[A-Z][A-Z0-9]{1,11}-\d+\b"
 PATH = r"(?U)(?<!\w)(?:/[^\s\"'<>|]+)"
 FILE = r"(?iU)\b[\w.@+-]{3,}\.(?:md|txt|json|jsonl|csv|tsv|xlsx|xls|docx|pdf|tex|py|mjs|cjs|js|jsx|ts|tsx|html|css|yaml|yml|toml|sh|zip)\b"
@@ -27,7 +29,7 @@ PATH_TAIL, LEAST_PATH = ".,;:!?)]}", 8
 
 
 def continuation_cue(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?iU)\b(?:" + "|".join(CUES) + r")\b"), F.lit(False))
+    return F.coalesce(text.rlike("(?iU)" + CUE), F.lit(False))
 
 
 def prompt_anchors(text: Column) -> Column:
@@ -65,12 +67,12 @@ def link(rows: DataFrame, stretch: int = 1000) -> DataFrame:
     adjacent = F.coalesce(F.col("previous.is_ce"), F.lit(False))
     rules = [
         (F.col("last_ce").isNull(), "CLEAN_ORIGIN_CANDIDATE", "CLEAN_ORIGIN_CANDIDATE", F.lit(None)),
-        (F.col("shared_targets") > 0, "EXACT_SUCCESSFUL_TOOL_TARGET", "HIGH", F.lit(0)),
-        (F.col("shared_anchors") > 0, "EXACT_PROMPT_ANCHOR", "HIGH", F.lit(0)),
-        (adjacent & (F.col("words") <= SHORT_WORDS) & F.col("cue"), "IMMEDIATE_SHORT_REFERENCE", "HIGH", F.lit(0)),
-        (adjacent, "IMMEDIATE_ADJACENCY", "PROBABLE", F.lit(1)),
-        (F.col("cue") & (distance <= CUE_DISTANCE), "CONTEXT_REFERENCE_WITHIN_20", "PROBABLE", distance),
-        (distance <= NEAR_DISTANCE, "NEAR_SEQUENCE", "PROBABLE", distance),
+        (F.col("shared_targets") > 0, "EXACT_SUCCESSFUL_TOOL_TARGET", HIGH, F.lit(0)),
+        (F.col("shared_anchors") > 0, "EXACT_PROMPT_ANCHOR", HIGH, F.lit(0)),
+        (adjacent & (F.col("words") <= SHORT_WORDS) & F.col("cue"), "IMMEDIATE_SHORT_REFERENCE", HIGH, F.lit(0)),
+        (adjacent, "IMMEDIATE_ADJACENCY", PROBABLE, F.lit(1)),
+        (F.col("cue") & (distance <= CUE_DISTANCE), "CONTEXT_REFERENCE_WITHIN_20", PROBABLE, distance),
+        (distance <= NEAR_DISTANCE, "NEAR_SEQUENCE", PROBABLE, distance),
         (F.lit(True), "UNRESOLVED_PRIOR_CE_SESSION", "UNRESOLVED", F.when(F.col("cue"), distance)),
     ]
     kind = tier = window = None
@@ -94,9 +96,32 @@ def link(rows: DataFrame, stretch: int = 1000) -> DataFrame:
     )
 
 
+def mapping(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """The linkage as it is put out: salted tokens in place of ids, and what marks it as unreviewed. ``rows``: row_id, station_id, provider."""
+    own = lambda prefix, c: token(prefix, F.col(c).cast("string"), LINKAGE_SALT, 16)
+    return links.join(rows.select("row_id", "station_id", "provider"), "row_id").select(
+        own("MAP", "row_id").alias("mapping_id"),
+        own("EP", "row_id").alias("episode_token"),
+        "station_id",
+        "provider",
+        own("SESSION", "session_ref").alias("session_token"),
+        F.col("turn").alias("turn_index"),
+        F.coalesce(own("EP", "matched_prior_ce"), F.lit("")).alias("matched_prior_ce_token"),
+        F.col("turn_distance").alias("turn_distance_from_latest_ce"),
+        F.col("shared_targets").alias("shared_successful_tool_targets"),
+        F.col("shared_anchors").alias("shared_prompt_anchors"),
+        yes(F.col("cue")).alias("explicit_continuation_reference"),
+        "mapping_class",
+        "evidence_tier",
+        "minimum_link_window",
+        F.lit("pending").alias("human_review_status"),
+        F.lit(RULE_VERSION).alias("rule_version"),
+    )
+
+
 def window_curve(links: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
     """Positives and their rate by window: high tier, or a window that reaches the row's least one. One pass."""
-    reach = lambda w: F.count_if((F.col("evidence_tier") == "HIGH") | (F.col("evidence_tier").isin("PROBABLE", "UNRESOLVED") & (F.col("minimum_link_window") <= w)))
+    reach = lambda w: F.count_if((F.col("evidence_tier") == HIGH) | (F.col("evidence_tier").isin(PROBABLE, "UNRESOLVED") & (F.col("minimum_link_window") <= w)))
     eligible = F.count_if(F.col("evidence_tier") != "CLEAN_ORIGIN_CANDIDATE")
     one = links.agg(eligible.alias("eligible_rows"), F.array(*[F.struct(F.lit(w).alias("window"), reach(w).alias("candidate_positive")) for w in windows]).alias("c"))
     out = one.select("eligible_rows", F.explode("c").alias("c")).select("c.window", "c.candidate_positive", "eligible_rows")

@@ -16,8 +16,9 @@ def manifest_lines(entries: DataFrame) -> DataFrame:
     return entries.orderBy("path").select(F.concat("sha256", F.lit("  "), "path").alias("value"))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    return lines.filter("trim(value) <> ''").select(F.substring("value", 67, 1 << 20).alias("path"), F.substring("value", 1, 64).alias("sha256"))
+def parse_lines(lines: DataFrame, *more: str) -> DataFrame:
+    """path, sha256 (and ``more`` columns) of lines (value); blank ones go."""
+    return lines.filter("trim(value) <> ''").select(*more, F.substring("value", 67, 1 << 20).alias("path"), F.substring("value", 1, 64).alias("sha256"))
 
 
 def difference(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json
-from ..functions.scalars import session_of, token, words
+from ..functions.scalars import EPISODE_SALT, canonical_mask, duration_minutes, frontloaded, is_yes, mask, month, per_action, session_of, token, verification_successful, words, yes
 from .ranking import hash_rank, latest_before, running_count
 from .rules import classify, strip, tool_class
 
@@ -190,6 +190,37 @@ def review_queue(rows: DataFrame) -> DataFrame:
     return found.orderBy(F.when(F.col("review_priority") == "high", 0).otherwise(1), "station_id", "episode_id")
 
 
+def transformed(rows: DataFrame) -> DataFrame:
+    """Screened episodes as the comparison takes them: 19 columns. A time that can't be read leaves month and duration null."""
+    at = lambda c: F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00"))
+    start, end = at("timestamp_start"), at("timestamp_end")
+    actions = F.col("completed_substantive_action_calls").cast("long")
+    duration = duration_minutes(start, end)
+    stages = mask(F.col("stage_signal_mask"))
+    has = lambda stage: F.array_contains(stages, stage).cast("int")
+    return rows.select(
+        "episode_id",
+        token("EP", F.col("episode_id"), EPISODE_SALT, 16).alias("episode_token"),
+        "station_id",
+        "provider",
+        F.when(start.isNotNull(), month(F.col("timestamp_start"))).alias("month"),
+        "origin_candidate",
+        "automated_disposition",
+        "publication_exclusion_candidate",
+        yes(frontloaded(F.col("attachment_count"), F.col("prompt_artifact_reference_count"), mask(F.col("context_mode_mask")))).alias("frontloaded_context_candidate"),
+        canonical_mask(F.col("stage_signal_mask")).alias("stage_signal_mask"),
+        F.when(start.isNotNull() & end.isNotNull(), duration).alias("duration_min"),
+        actions.alias("completed_substantive_actions"),
+        F.when(start.isNotNull() & end.isNotNull(), per_action(duration, actions)).alias("min_per_action"),
+        verification_successful(F.col("calls")).alias("verification_successful"),
+        has("audit").alias("audit_signal"),
+        has("remediation").alias("remediation_signal"),
+        has("packaging_release").alias("packaging_release_signal"),
+        (F.size(F.array_distinct(stages)) >= 2).cast("int").alias("multistage_signal"),
+        is_yes(F.col("grounded_decision_trace")).alias("grounded_decision_trace"),
+    )
+
+
 def queue_places(queue: DataFrame) -> DataFrame:
     """Adds ``place`` from 1: rows are counted by priority and station, and numbered within these."""
     high = F.when(F.col("review_priority") == "high", 0).otherwise(1)

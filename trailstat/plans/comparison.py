@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import exact_count
 from ..operators import cohort, effects, linkage, resample
 from ..registry import query
+from ..sources.shared import spool
 from .adapters import BINARY, EPISODES_SQL, RATIO, episodes, trace, with_turns
 
 BALANCE_SQL = (
@@ -54,20 +55,25 @@ VALUES = ("ce_value", "comparison_value", "effect")
 VALUES_SQL = "ce_value, comparison_value, effect"
 
 
+def _cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both arms, computed once: the plans below read them several times."""
+    return spool(cohort.cohorts(episodes(spark, sf_dir)), "cohorts")
+
+
 def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.both_sets(cohort.cohorts(episodes(spark, sf_dir)))
+    return cohort.both_sets(_cohorts(spark, sf_dir))
 
 
 @query("balanced_pairs", BALANCE_SQL + "SELECT analysis_set, station_id, provider, month, rank, ce_id, comparison_id FROM pr")
 def balanced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cohort.cohorts(episodes(spark, sf_dir))
+    rows = _cohorts(spark, sf_dir)
     sets = [cohort.balance(*cohort.arms(rows, primary)).withColumn("analysis_set", F.lit(name)) for name, primary in (("unrestricted", False), ("primary_frontloaded", True))]
     return sets[0].unionByName(sets[1]).select("analysis_set", *cohort.STRATUM, "rank", "ce_id", "comparison_id")
 
 
 @query("sample_links", BALANCE_SQL + "SELECT ce_id, comparison_id, 'LINK-' || substr(sha256('(''' || station_id || ''', ''' || provider || ''', ''' || month || ''')|' || rank), 1, 16) AS sample_link_id FROM pr WHERE analysis_set = 'unrestricted'")
 def sample_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cohort.cohorts(episodes(spark, sf_dir))
+    rows = _cohorts(spark, sf_dir)
     return cohort.balance(*cohort.arms(rows, False)).select("ce_id", "comparison_id", "sample_link_id")
 
 
@@ -75,7 +81,7 @@ def sample_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 least(count(*) FILTER (WHERE cohort = 'CE_ORDERED_ACTION'), count(*) FILTER (WHERE cohort <> 'CE_ORDERED_ACTION')) AS balanced_per_condition
 FROM co GROUP BY ALL HAVING count(DISTINCT cohort) = 2""")
 def balanced_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.strata(*cohort.arms(cohort.cohorts(episodes(spark, sf_dir)), False))
+    return cohort.strata(*cohort.arms(_cohorts(spark, sf_dir), False))
 
 
 @query("cohort_counts", "WITH " + EPISODES_SQL + """SELECT CASE disposition WHEN 'candidate_strong' THEN 'CE_ORDERED_ACTION' ELSE 'ROUTED_COMPARISON_ACTION' END AS cohort, count(*) AS n_rows,
@@ -95,7 +101,7 @@ STATION_SQL = _effects_sql("analysis_set, station_id", ratio="median_ratio")
 
 
 def _stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return effects.arm_effects(_balanced(spark, sf_dir), ["analysis_set", "station_id"], "median_ratio")
+    return effects.arm_effects(_balanced(spark, sf_dir), ["analysis_set", "station_id"], "median_ratio", strict=True)
 
 
 @query("station_effects", BALANCE_SQL + _round_sql("analysis_set, station_id, metric, effect_scale, rows_per_condition", VALUES_SQL, STATION_SQL))
@@ -106,11 +112,11 @@ def station_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 GROUPS_SQL = "(SELECT *, CASE WHEN station_id IN ('ST00', 'ST01', 'ST02') THEN 'initial' WHEN station_id <> 'ST03' THEN 'subsequent' END AS archive_group FROM br)"
 
 
-@query("archive_group_summary", BALANCE_SQL + _round_sql("analysis_set, archive_group, metric, effect_scale, rows_per_condition", VALUES_SQL, f"SELECT * FROM ({_effects_sql('analysis_set, archive_group', GROUPS_SQL)}) WHERE archive_group IS NOT NULL"))
+@query("archive_group_summary", BALANCE_SQL + _round_sql("analysis_set, archive_group, metric, effect_scale, rows_per_condition, contributing_stations", VALUES_SQL, f"SELECT * FROM ({_effects_sql('analysis_set, archive_group', GROUPS_SQL)}) JOIN (SELECT analysis_set, archive_group, count(DISTINCT station_id) AS contributing_stations FROM {GROUPS_SQL} GROUP BY ALL) USING (analysis_set, archive_group)"))
 def archive_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.when(F.col("station_id").isin("ST00", "ST01", "ST02"), "initial").when(F.col("station_id") != "ST03", "subsequent")
     rows = _balanced(spark, sf_dir).withColumn("archive_group", group).filter("archive_group IS NOT NULL")
-    return _rounded(effects.arm_effects(rows, ["analysis_set", "archive_group"]), *VALUES)
+    return _rounded(effects.arm_effects(rows, ["analysis_set", "archive_group"], stations=True), *VALUES)
 
 
 def _equal_sql(source: str) -> str:
@@ -135,9 +141,12 @@ def min_station_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(effects.equal_station(effects.at_least(_stations(spark, sf_dir), 20)), "effect", "descriptive_sign_p")
 
 
-BINS = (("1-2", 1, 2), ("3-5", 3, 5), ("6+", 6, None))
+# Bins of actions, and the coarse ones of the later stations.
+BINS = (("1-2", 1, 2), ("3-5", 3, 5), ("6-10", 6, 10), ("11+", 11, None))
+COARSE_BINS = (("1-2", 1, 2), ("3-5", 3, 5), ("6+", 6, None))
+INITIAL = ("ST00", "ST01", "ST02")
 BINS_SQL = """
-bn AS (SELECT analysis_set, CASE WHEN actions <= 2 THEN '1-2' WHEN actions <= 5 THEN '3-5' ELSE '6+' END AS action_bin,
+bn AS (SELECT analysis_set, CASE WHEN actions <= 2 THEN '1-2' WHEN actions <= 5 THEN '3-5' WHEN actions <= 10 THEN '6-10' ELSE '11+' END AS action_bin,
   count(*) FILTER (WHERE arm = 'ce' AND verification_successful = 1) AS ce_k, count(*) FILTER (WHERE arm = 'ce') AS ce_n,
   count(*) FILTER (WHERE arm <> 'ce' AND verification_successful = 1) AS comparison_k, count(*) FILTER (WHERE arm <> 'ce') AS comparison_n FROM br GROUP BY ALL),
 bw AS (SELECT *, ce_k / nullif(ce_n, 0) AS ce_rate, comparison_k / nullif(comparison_n, 0) AS comparison_rate, ce_k / nullif(ce_n, 0) - comparison_k / nullif(comparison_n, 0) AS gap,
@@ -185,9 +194,11 @@ def bootstrap_ci_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _linkable(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.col("completed") & F.col("succeeded")
     keys = trace(spark, sf_dir).groupBy("ok").agg(F.collect_set(F.when(done, F.col("target"))).alias("targets"), F.collect_set(F.when(F.col("class") == "retrieve", F.col("anchor"))).alias("anchors"))
-    ep = with_turns(episodes(spark, sf_dir)).join(keys, F.col("episode_id") == F.col("ok"))
+    narrow = episodes(spark, sf_dir).select("episode_id", "session_ref", "station_id", "provider", "started", "actions", "disposition", "calls", "cue")
+    ep = with_turns(narrow).join(keys, F.col("episode_id") == F.col("ok"))
     words = F.when(F.col("calls") <= 3, 10).otherwise(100)
-    return ep.select(F.col("episode_id").alias("row_id"), "session_ref", F.col("turn").cast("long").alias("turn"), F.lit(0).alias("line"), "actions", "disposition", words.alias("words"), "cue", "targets", "anchors")
+    rows = ep.select(F.col("episode_id").alias("row_id"), "session_ref", "station_id", "provider", F.col("turn").cast("long").alias("turn"), F.lit(0).alias("line"), "actions", "disposition", words.alias("words"), "cue", "targets", "anchors")
+    return spool(rows, "linkable")
 
 
 LINK_SQL = (
@@ -210,8 +221,8 @@ l AS (SELECT j.row_id, j.session_ref, j.turn, p.row_id AS matched_prior_ce, d AS
     WHEN adjacent AND j.words <= 30 AND j.cue THEN 'IMMEDIATE_SHORT_REFERENCE' WHEN adjacent THEN 'IMMEDIATE_ADJACENCY' WHEN j.cue AND d <= 20 THEN 'CONTEXT_REFERENCE_WITHIN_20'
     WHEN d <= 3 THEN 'NEAR_SEQUENCE' ELSE 'UNRESOLVED_PRIOR_CE_SESSION' END AS mapping_class
   FROM j LEFT JOIN r p ON p.session_ref = j.session_ref AND p.turn = j.m_turn),
-links AS (SELECT *, CASE WHEN mapping_class = 'CLEAN_ORIGIN_CANDIDATE' THEN mapping_class WHEN mapping_class IN ('EXACT_SUCCESSFUL_TOOL_TARGET', 'EXACT_PROMPT_ANCHOR', 'IMMEDIATE_SHORT_REFERENCE') THEN 'HIGH'
-    WHEN mapping_class = 'UNRESOLVED_PRIOR_CE_SESSION' THEN 'UNRESOLVED' ELSE 'PROBABLE' END AS evidence_tier,
+links AS (SELECT *, CASE WHEN mapping_class = 'CLEAN_ORIGIN_CANDIDATE' THEN mapping_class WHEN mapping_class IN ('EXACT_SUCCESSFUL_TOOL_TARGET', 'EXACT_PROMPT_ANCHOR', 'IMMEDIATE_SHORT_REFERENCE') THEN 'HIGH_CONFIDENCE_CANDIDATE'
+    WHEN mapping_class = 'UNRESOLVED_PRIOR_CE_SESSION' THEN 'UNRESOLVED' ELSE 'PROBABLE_CANDIDATE' END AS evidence_tier,
   CASE WHEN mapping_class = 'CLEAN_ORIGIN_CANDIDATE' THEN NULL WHEN mapping_class IN ('EXACT_SUCCESSFUL_TOOL_TARGET', 'EXACT_PROMPT_ANCHOR', 'IMMEDIATE_SHORT_REFERENCE') THEN 0
     WHEN mapping_class = 'IMMEDIATE_ADJACENCY' THEN 1 WHEN mapping_class = 'UNRESOLVED_PRIOR_CE_SESSION' AND NOT cue THEN NULL ELSE turn_distance END AS minimum_link_window FROM l)
 """
@@ -228,10 +239,10 @@ def linkage_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.link(_linkable(spark, sf_dir)).groupBy("evidence_tier", "mapping_class").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("linkage_window_curve", LINK_SQL + """SELECT w AS "window", count(*) FILTER (WHERE evidence_tier = 'HIGH' OR evidence_tier IN ('PROBABLE', 'UNRESOLVED') AND minimum_link_window <= w) AS candidate_positive,
+@query("linkage_window_curve", LINK_SQL + """SELECT w AS "window", count(*) FILTER (WHERE evidence_tier = 'HIGH_CONFIDENCE_CANDIDATE' OR evidence_tier IN ('PROBABLE_CANDIDATE', 'UNRESOLVED') AND minimum_link_window <= w) AS candidate_positive,
 count(*) FILTER (WHERE evidence_tier <> 'CLEAN_ORIGIN_CANDIDATE') AS eligible_rows,
-round(count(*) FILTER (WHERE evidence_tier = 'HIGH' OR evidence_tier IN ('PROBABLE', 'UNRESOLVED') AND minimum_link_window <= w) / count(*) FILTER (WHERE evidence_tier <> 'CLEAN_ORIGIN_CANDIDATE'), 9) AS candidate_positive_rate,
-count(*) FILTER (WHERE evidence_tier <> 'CLEAN_ORIGIN_CANDIDATE') - count(*) FILTER (WHERE evidence_tier = 'HIGH' OR evidence_tier IN ('PROBABLE', 'UNRESOLVED') AND minimum_link_window <= w) AS unresolved
-FROM links, (SELECT unnest([1, 2, 3, 5, 10]) AS w) GROUP BY w""")
+round(count(*) FILTER (WHERE evidence_tier = 'HIGH_CONFIDENCE_CANDIDATE' OR evidence_tier IN ('PROBABLE_CANDIDATE', 'UNRESOLVED') AND minimum_link_window <= w) / count(*) FILTER (WHERE evidence_tier <> 'CLEAN_ORIGIN_CANDIDATE'), 9) AS candidate_positive_rate,
+count(*) FILTER (WHERE evidence_tier <> 'CLEAN_ORIGIN_CANDIDATE') - count(*) FILTER (WHERE evidence_tier = 'HIGH_CONFIDENCE_CANDIDATE' OR evidence_tier IN ('PROBABLE_CANDIDATE', 'UNRESOLVED') AND minimum_link_window <= w) AS unresolved
+FROM links, (SELECT unnest([5, 10, 20, 50, 106]) AS w) GROUP BY w""")
 def linkage_window_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(linkage.window_curve(linkage.link(_linkable(spark, sf_dir)), (1, 2, 3, 5, 10)), "candidate_positive_rate")
+    return _rounded(linkage.window_curve(linkage.link(_linkable(spark, sf_dir))), "candidate_positive_rate")

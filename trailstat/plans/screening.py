@@ -132,7 +132,7 @@ def bin_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("curve_checks", "SELECT * FROM (VALUES ('curve never falls', 0), ('unresolved', 0), ('high tier has window 0', 0)) v(\"check\", violations)")
 def curve_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = linkage.link(c._linkable(spark, sf_dir))
-    return checks.curve_checks(links, linkage.window_curve(links, (1, 2, 3, 5, 10)))
+    return checks.curve_checks(links, linkage.window_curve(links))
 
 
 _KINDS = {"c_custkey": "BIGINT", "c_name": "VARCHAR", "c_nationkey": "INT", "c_acctbal": "DOUBLE", "c_mktsegment": "VARCHAR"}
@@ -197,7 +197,7 @@ def label_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("strata_disagreements", "SELECT CAST(NULL AS VARCHAR) AS station_id, CAST(NULL AS VARCHAR) AS provider, CAST(NULL AS VARCHAR) AS month WHERE false")
 def strata_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ce, other = cohort.arms(cohort.cohorts(episodes(spark, sf_dir)), False)
+    ce, other = cohort.arms(c._cohorts(spark, sf_dir), False)
     return checks.strata_agree(c._balanced(spark, sf_dir), cohort.strata(ce, other), "unrestricted").select(*cohort.STRATUM)
 
 

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from .plans import comparison, screening, transcripts  # noqa: F401  they register their queries
+    from .plans import comparison, release, screening, transcripts  # noqa: F401  they register their queries
 
     return dict(_QUERIES)
 

@@ -41,7 +41,10 @@ def zip_members(spark: SparkSession, path: str, within: str = PACKED_SOURCES, su
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                data = io.BytesIO(content.as_py())
+                if not zipfile.is_zipfile(data):
+                    continue  # told by ``archives``
+                with zipfile.ZipFile(data) as archive:
                     for member in archive.namelist():
                         if within in f"/{member}" and member.endswith(suffix):
                             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([member]), pa.array([archive.read(member)], pa.binary())], names=["archive", "member", "content"])
@@ -57,10 +60,22 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def workbook_texts(spark: SparkSession, path: str) -> DataFrame:
-    """label, text of the XML members of workbooks (their other members by name alone)."""
+    """archive, member, label, text of the XML members of workbooks (their other members by name alone)."""
     members = zip_members(spark, path, within="/", suffix="")
     text = F.when(F.col("member").endswith(".xml"), F.decode("content", "UTF-8")).otherwise(F.lit(""))
-    return members.select(F.concat_ws("!", F.regexp_extract("archive", "([^/]+)$", 1), "member").alias("label"), text.alias("text"))
+    name = F.regexp_extract("archive", "([^/]+)$", 1)
+    return members.select(name.alias("archive"), "member", F.concat_ws("!", name, "member").alias("label"), text.alias("text"))
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """archive, is_zip of files: whether each ends as a zip archive does."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([zipfile.is_zipfile(io.BytesIO(c.as_py())) for c in batch.column("content")], pa.bool_())], names=["archive", "is_zip"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("path"), "content").mapInArrow(judge, "archive string, is_zip boolean")
 
 
 def source_specs(manifest: DataFrame) -> DataFrame:
@@ -102,6 +117,13 @@ def contract(rules_text: str, cutoff_text: str) -> tuple[dict, dict]:
     return rules, cutoff
 
 
+def summary_items(texts: DataFrame, selector: str) -> DataFrame:
+    """label, place (from 0), key, value of the objects in the list at ``selector`` in JSON texts (label, text)."""
+    items = F.from_json(F.get_json_object("text", selector), "array<map<string,string>>")
+    rows = texts.select("label", F.posexplode(items).alias("place", "item"))
+    return rows.select("label", "place", F.explode("item").alias("key", "value"))
+
+
 def summary_cells(texts: DataFrame, selector: str) -> DataFrame:
     """label, key, value of the object at ``selector`` (a JSON path) in JSON texts (label, text)."""
     cells = F.from_json(F.get_json_object("text", selector), "map<string,string>")

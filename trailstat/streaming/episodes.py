@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; in local tests without one, a folder of our own."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="trailstat-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.shared import shared_folder
 
 
 def windowed_counts(spark: SparkSession, path: str, every: str = "1 day", files_per_trigger: int = 1000) -> DataFrame:
@@ -26,7 +15,7 @@ def windowed_counts(spark: SparkSession, path: str, every: str = "1 day", files_
     the end of the run. Events without a time are counted under a null day. Update mode writes each
     window's last count; the latest batch of each window counts.
     """
-    root = shared_folder(spark)
+    root = shared_folder(spark, "stream")
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, the path may also be one file
     events = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("timed", F.col("ts").isNotNull())
