@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trailstat.llm import quality
+from trailstat.llm.common import spool
 
 
 def brute(text):
@@ -55,7 +56,30 @@ def test_accepted_documents_keep_their_columns(spark):
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, clean, "en", "s", 1, "x", "y", "z")]
 
 
+def test_accepted_are_those_that_the_cascade_keeps_in_any_order(spark):
+    texts = [r[1] for r in awkward()] + [" ".join(f"{'Ab' if i % 2 else 'word'}{i % m}" for i in range(80)) for m in (3, 30, 80)] + ["x! " * 70, "1234 abcd efgh " * 30, "a b c\n" * 30]
+    texts += [" ".join("word" + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(n)) for n in (60, 49)]
+    docs = table(spark, [(i, t, None, None, None, "", "", "") for i, t in enumerate(texts)])
+    kept = {r["doc_id"] for r in quality.quality_cascade(docs, order=quality.RULES).filter("kept").collect()}
+    assert kept and len(kept) < len(texts)
+    every = (*quality.BASE_RULES, *quality.RULES)
+    for order in (every, every[::-1], None):
+        assert {r["doc_id"] for r in quality.accepted_documents(docs, order=order).collect()} == kept
+
+
+def test_rows_come_as_they_were_whatever_columns_are_called(spark):
+    names = ["doc_id", "text", "_row", "_lines", "_words", "a.b", "n_words", "_metadata", "_time"]
+    clean = " ".join("word" + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(60))
+    rows = [(1, clean, *names[2:]), (2, "few", *names[2:])]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for d in (docs, spool(docs, "t")):
+        got = quality.accepted_documents(d)
+        assert got.columns == names and [tuple(r) for r in got.collect()] == rows[:1]
+
+
 def test_main_path_is_native(spark):
+    accepted = quality.accepted_documents(table(spark), order=(*quality.BASE_RULES, *quality.RULES))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in accepted and "Arrow" not in accepted
     plan = quality.quality_cascade(table(spark), order=quality.RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
