@@ -20,7 +20,7 @@ from .textkit import mix
 BUCKETS = 1 << 15
 #: The sample that the model is fitted on: about so many documents of each language, by a hash of the id.
 TRAIN_DOCS = 2000
-#: More languages than this are an error (the model takes 128 kB each on every executor).
+#: More languages than this are an error (the model takes 256 kB each on every executor).
 MOST_LANGUAGES = 512
 ROUNDS = 12
 #: What one more language must add to the log likelihood, a trigram draw; dependent draws need more than a BIC.
@@ -56,8 +56,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[lang] += found
             else:
                 sums[lang] = found
-    rows = list(sums.items())
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v.astype("<i8").tobytes() for _, v in rows], pa.binary())], names=["lang", "counts"])
+    for lang, counts in sums.items():
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["lang", "bucket", "n"])
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
@@ -70,10 +71,14 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.nd
     for lang, n in sizes.items():
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, train_docs / n))).otherwise(part)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(4)), F.lit(1 << 20)) / (1 << 20)
-    counted = rows.filter(place < part).select("lang", "text").mapInArrow(_counts, "lang string, counts binary")
+    counted = rows.filter(place < part).select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long")
+    # Summed over all tasks before they come here: at most BUCKETS numbers a language.
+    found = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums = {lang: np.zeros(BUCKETS, np.int64) for lang in sorted(sizes)}
-    for row in counted.toLocalIterator():
-        sums[row["lang"]] += np.frombuffer(row["counts"], "<i8")
+    names, at, n = (found[c].to_numpy() for c in ("lang", "bucket", "n"))
+    for lang in sums:
+        mine = names == lang
+        sums[lang][at[mine]] = n[mine]
     langs = [lang for lang, c in sums.items() if c.any()]
     table = np.array([sums[lang] + SMOOTHING for lang in langs], np.float64).reshape(len(langs), BUCKETS)
     return langs, table / table.sum(axis=1, keepdims=True) if len(langs) else table
