@@ -53,5 +53,31 @@ def test_one_url_with_all_records(spark):
     assert a == b and len(a) == 800
 
 
+def test_repeated_rows_and_rows_without_an_id(spark):
+    h, other = [("Date", "d")], [("Date", "e")]
+    df = rows(
+        spark,
+        (1, "http://a/", 1, "response", "e", None, h),
+        (1, "http://a/", 1, "response", "e", None, h),
+        (1, "http://a/", 1, "response", "e", None, other),
+        (1, "http://b/", 1, "response", "f", None, h),  # the id of another URL's response
+        (2, "http://a/", 2, "revisit", "e", None, None),
+        (2, "http://a/", 2, "revisit", "e", None, None),
+        (2, "http://b/", 2, "revisit", "f", None, None),
+        (None, "http://a/", 2, "revisit", "e", None, None),
+        (None, "http://a/", 9, "revisit", "x", None, None),
+        (None, "http://c/", 1, "response", "e", None, h),
+        (3, "http://c/", 2, "revisit", "e", None, None),
+        (None, None, 2, "revisit", "e", None, None),
+        (None, None, 1, "response", "e", None, None),
+        (4, "http://a/", 2, None, "e", None, None),
+    )
+    got = sorted(((r["record_id"] is None, r["record_id"] or 0, r["canonical_url"], r["ts"], r["outcome"], r["matched_id"], r["headers"][0]["value"] if r["headers"] else None) for r in warc.resolve_revisits(df).filter("outcome <> 'full'").collect()), key=str)
+    a, b = (False, 2, "a", 2, "resolved", 1, "d"), (False, 2, "b", 2, "resolved", 1, "d")
+    want = [a, a, b, (True, 0, "a", 2, "resolved", 1, "d"), (True, 0, "a", 9, "changed", None, None), (False, 3, "c", 2, "resolved", None, "d"), (True, 0, None, 2, "no_response", None, None), (False, 4, "a", 2, "resolved", 1, "d")]
+    assert got == sorted(want, key=str)
+    assert warc.resolve_revisits(df).count() == 14
+
+
 def test_empty_table(spark):
     assert warc.resolve_revisits(rows(spark, (1, "u", 1, "response", None, None, None)).limit(0)).count() == 0

@@ -35,13 +35,16 @@ def _strong(etag: str) -> Column:
 def resolve_revisits(captures: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """One row per record: record_id, kind, canonical_url, ts, matched_id, outcome, headers.
 
-    ``captures``: record_id long (unique), url, ts long, kind (response or revisit), etag,
+    ``captures``: record_id long, url, ts long, kind (response or revisit), etag,
     last_modified, headers (array of name and value). A response matches itself (outcome ``full``). A
     revisit is ``resolved`` when ETags agree (weak marks aside), or, if one lacks an ETag, when the
     last_modified agree; ``unconfirmed`` when neither can be compared; ``changed`` when they differ;
     ``no_response`` without a response strictly earlier. Of responses of one time the largest
     record_id counts. Only resolved rows merge headers; others keep their own. Null URLs and times
-    match nothing; null headers are none; other columns are ignored.
+    match nothing; a null kind is a revisit; null headers are none; other columns are ignored; an empty table gives no rows.
+    Repeated rows are resolved alike, each on its own; of responses with one id, URL and time that differ
+    the least by ETag, last_modified and headers counts. A response without an id can be repeated; its
+    matched_id is null.
     """
     url = canonical_url(F.col("url"))
     rows = captures.select(
@@ -53,24 +56,28 @@ def resolve_revisits(captures: DataFrame, stretch: int = STRETCH) -> DataFrame:
         "last_modified",
         F.coalesce(F.col("headers"), F.array().cast(HEADERS)).alias("headers"),
     )
-    full = F.col("kind") == "response"
-    # A null URL or time stands alone.
-    lone = F.col("canonical_url").isNull() | F.col("ts").isNull()
-    key = F.when(lone, F.concat(F.lit("\0"), F.col("record_id").cast("string"))).otherwise(F.col("canonical_url"))
-    narrow = rows.select("record_id", "ts", full.alias("full"), key.alias("key"), F.floor(F.coalesce(F.col("ts"), F.lit(0)) / stretch).alias("stretch"))
+    full = F.coalesce(F.col("kind") == "response", F.lit(False))
+    # A row with a null URL or time has no key and no part in the lookup.
+    rows = rows.withColumn("key", F.when(F.col("ts").isNotNull(), F.col("canonical_url")))
+    narrow = rows.filter("key IS NOT NULL").select("record_id", "ts", full.alias("full"), "key", F.floor(F.col("ts") / stretch).alias("stretch"))
     latest = F.max(F.when(F.col("full"), F.struct("ts", "record_id")))
     within = Window.partitionBy("key", "stretch").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = narrow.groupBy("key", "stretch").agg(latest.alias("last")).withColumn("carried", F.max("last").over(earlier)).select("key", "stretch", "carried")
     found = narrow.withColumn("inside", latest.over(within)).filter("NOT full").join(carried, ["key", "stretch"])
-    found = found.select("record_id", F.coalesce("inside", "carried")["record_id"].alias("found_id"))
-    stored = rows.filter(full).select(F.col("record_id").alias("found_id"), F.col("etag").alias("s_etag"), F.col("last_modified").alias("s_modified"), F.col("headers").alias("s_headers"))
-
-    joined = rows.filter(~full).join(found, "record_id", "left").join(stored, "found_id", "left")
+    # What is found depends on URL and time alone: one row for each of them, however many records have both.
+    hit = F.coalesce("inside", "carried")
+    found = found.select("key", "ts", hit["record_id"].alias("found_id"), hit["ts"].alias("found_ts")).filter("found_ts IS NOT NULL").dropDuplicates(["key", "ts"])
+    stored = rows.filter(full & F.col("key").isNotNull()).groupBy("key", F.col("ts").alias("found_ts"), F.col("record_id").alias("found_id")).agg(F.min(F.struct("etag", "last_modified", "headers")).alias("s"))
+    stored = stored.alias("r")
+    same = (F.col("f.key") == F.col("r.key")) & (F.col("f.found_ts") == F.col("r.found_ts")) & F.col("f.found_id").eqNullSafe(F.col("r.found_id"))
+    found = found.alias("f").join(stored, same).select("f.*", F.col("r.s.etag").alias("s_etag"), F.col("r.s.last_modified").alias("s_modified"), F.col("r.s.headers").alias("s_headers"))
+
+    joined = rows.filter(~full).join(found, ["key", "ts"], "left")
     tags = F.col("etag").isNotNull() & F.col("s_etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("s_modified").isNotNull()
     agree = F.when(tags, _strong("etag") == _strong("s_etag")).when(dates, F.col("last_modified") == F.col("s_modified"))
-    outcome = F.when(F.col("found_id").isNull(), "no_response").when(agree.isNull(), "unconfirmed").when(agree, "resolved").otherwise("changed")
+    outcome = F.when(F.col("found_ts").isNull(), "no_response").when(agree.isNull(), "unconfirmed").when(agree, "resolved").otherwise("changed")
     joined = joined.withColumn("outcome", outcome)
     joined = joined.withColumn("sent", F.filter("headers", lambda h: F.lower(h["name"]).isin(*PERMITTED)))
     merged = F.concat(F.filter("s_headers", lambda h: ~F.exists("sent", lambda s: F.lower(s["name"]) == F.lower(h["name"]))), F.col("sent"))
