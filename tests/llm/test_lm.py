@@ -6,7 +6,7 @@ import numpy as np
 from helpers import awkward, empty, table, words
 
 from trailstat.llm import lm
-from trailstat.llm.eliasfano import EliasFano, Trie
+from trailstat.llm.eliasfano import EliasFano, Level
 
 
 def test_sequences_access_and_successor():
@@ -24,14 +24,36 @@ def test_trie_finds_its_pairs_and_no_others():
     rng = np.random.default_rng(1)
     n = 300
     keys = np.unique(rng.integers(0, n * n, 4000))
-    trie = Trie.build(keys // n, keys % n, -rng.random(n), -rng.random(n), -rng.random(len(keys))).mapped()
+    codes = rng.integers(1, 60_000, len(keys)).astype(np.uint16)
+    level = Level.mapped(Level.build(keys // n, keys % n, n, codes).pack())
     asked = rng.integers(0, n * n, 20_000)
     want = {k: i for i, k in enumerate(keys)}
-    assert trie.pair_places(asked // n, asked % n).tolist() == [want.get(k, -1) for k in asked]
-    bits = 8 * (trie.successors.low.nbytes + trie.successors.high.nbytes) / len(keys)
+    assert level.places(asked // n, asked % n).tolist() == [want.get(k, -1) for k in asked]
+    assert level.look_up(asked // n, asked % n).tolist() == [codes[want[k]] if k in want else 0 for k in asked]
+    bits = 8 * (level.keys.low.nbytes + level.keys.high.nbytes) / len(keys)
     assert bits < 14
 
 
+def test_packing_of_numbers():
+    rng = np.random.default_rng(2)
+    for x in (np.zeros(0, np.uint64), np.zeros(3, np.uint16), rng.integers(0, 2**48, 1000).astype(np.uint64), np.array([2**32 - 1], np.uint32)):
+        assert (lm._unpack(lm._pack(x)) == x).all()
+        assert (lm._unpack_sorted(lm._pack_sorted(np.sort(x.astype(np.uint64)))) == np.sort(x)).all()
+
+
+def test_a_stored_model_scores_as_its_own_corpus(spark):
+    docs = table(spark).repartition(2)
+    key = lambda r: (str(r[0]), *r[1:])
+    model = lm.lm_model(docs, mu=7.0)
+    assert sorted(map(key, lm.lm_scores(docs, model=model).collect())) == sorted(map(key, lm.lm_scores(docs, mu=7.0).collect()))
+    # Without its pairs the model knows words alone: the scores come from the stored levels.
+    text = [(900, "one two three four", None, None, None, None, None, None), (901, "never seen", None, None, None, None, None, None)]
+    whole, words_only = (lm.lm_scores(table(spark, text), model=m).orderBy("doc_id").collect() for m in (model, model.filter("order = 1")))
+    assert whole[0]["score"] > words_only[0]["score"] and whole[0]["base_score"] == words_only[0]["base_score"]
+    assert whole[1]["n_known"] == 1
+    assert lm.lm_scores(table(spark, text), model=lm.lm_model(empty(spark))).count() == 2
+
+
 def test_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 3000)
     rows = awkward()

@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and an n-gram trie of two levels over them, queried for many keys at once."""
+"""Elias-Fano sequences and the levels of an n-gram trie over them, queried for many keys at once."""
 
 from __future__ import annotations
 
@@ -97,71 +97,69 @@ class EliasFano:
         return begin
 
 
-class Trie:
-    """Words and, under each word, its successors.
+class Level:
+    """One level of an n-gram trie: the n-grams that lie under each context, each with a code.
 
-    Level 1 holds per word a probability code, a back-off code and (in an Elias-Fano sequence) where
-    its successors begin. Level 2 holds the successors of all words in a row: sorted within a word, and
-    made monotone by adding the last value before the word's range, so a key's place is found from its
-    context by a successor search. Codes are log10 probabilities in steps of STEP.
+    ``pointers`` says where each context's n-grams begin. ``keys`` holds the keys of all contexts in a
+    row: sorted within a context, and made monotone by adding the last value before the context's range,
+    so an n-gram is found from its context by a successor search.
     """
 
-    STEP = 1 / 2048
-
-    def __init__(self, pointers: EliasFano, successors: EliasFano, words: np.ndarray, backoff: np.ndarray, pairs: np.ndarray):
-        self.pointers, self.successors, self.words, self.backoff, self.pairs = pointers, successors, words, backoff, pairs
-
-    @classmethod
-    def code(cls, log10: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(-log10 / cls.STEP), 0, 65535).astype(np.uint16)
+    def __init__(self, pointers: EliasFano, keys: EliasFano, codes: np.ndarray):
+        self.pointers, self.keys, self.codes = pointers, keys, codes
 
     @classmethod
-    def build(cls, first: np.ndarray, second: np.ndarray, word_log10: np.ndarray, backoff_log10: np.ndarray, pair_log10: np.ndarray) -> Trie:
-        """``first``, ``second``: the pairs' word numbers, sorted by both."""
-        begin = np.searchsorted(first, np.arange(len(word_log10) + 1))
-        ends = np.zeros(len(word_log10) + 1, np.int64)
+    def build(cls, contexts: np.ndarray, keys: np.ndarray, n_contexts: int, codes: np.ndarray) -> Level:
+        """``contexts``, ``keys``: those of each n-gram, sorted by both, no two the same."""
+        begin = np.searchsorted(contexts, np.arange(n_contexts + 1))
+        ends = np.zeros(n_contexts + 1, np.uint64)
         has = begin[1:] > begin[:-1]
-        # Each range adds its last word to what came before; + 1 keeps equal neighbours of two ranges apart.
-        ends[1:][has] = second[begin[1:][has] - 1] + 1
-        base = np.cumsum(ends)[:-1]
-        return cls(EliasFano.of(begin), EliasFano.of(second + base[first]), cls.code(word_log10), cls.code(backoff_log10), cls.code(pair_log10))
-
-    def pair_places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Place of each pair in level 2, -1 where it isn't there."""
-        words, number = np.unique(first, return_inverse=True)
-        begin = self.pointers.access(words).astype(np.int64)
-        end = self.pointers.access(words + 1).astype(np.int64)
-        base = np.zeros(len(words), np.uint64)
+        # Each range adds its last key to what came before; + 1 keeps equal neighbours of two ranges apart.
+        ends[1:][has] = keys[begin[1:][has] - 1].astype(np.uint64) + _ONE
+        return cls(EliasFano.of(begin), EliasFano.of(keys.astype(np.uint64) + np.cumsum(ends)[:-1][contexts]), codes)
+
+    def places(self, contexts: np.ndarray, keys: np.ndarray, chunk: int = 1 << 17) -> np.ndarray:
+        """Place of each n-gram in the level, -1 where it isn't there."""
+        if len(keys) > chunk:
+            return np.concatenate([self.places(contexts[i : i + chunk], keys[i : i + chunk]) for i in range(0, len(keys), chunk)])
+        distinct, number = np.unique(contexts, return_inverse=True)
+        begin = self.pointers.access(distinct).astype(np.int64)
+        end = self.pointers.access(distinct + 1).astype(np.int64)
+        base = np.zeros(len(distinct), np.uint64)
         some = begin > 0
-        base[some] = self.successors.access(begin[some] - 1) + _ONE
-        place = self.successors.successor(base[number] + second.astype(np.uint64))
-        inside = (place >= begin[number]) & (place < end[number])
-        found = np.flatnonzero(inside)
-        hit = self.successors.access(place[found]) == base[number][found] + second[found].astype(np.uint64)
-        out = np.full(len(first), -1, np.int64)
-        out[found[hit]] = place[found[hit]]
+        base[some] = self.keys.access(begin[some] - 1) + _ONE
+        want = base[number] + keys.astype(np.uint64)
+        place = self.keys.successor(want)
+        found = np.flatnonzero((place >= begin[number]) & (place < end[number]))
+        hit = found[self.keys.access(place[found]) == want[found]]
+        out = np.full(len(keys), -1, np.int64)
+        out[hit] = place[hit]
         return out
 
-    def log10(self, first: np.ndarray, second: np.ndarray, chunk: int = 1 << 17) -> np.ndarray:
-        """log10 probability of ``second`` after ``first``."""
-        if len(first) > chunk:
-            return np.concatenate([self.log10(first[i : i + chunk], second[i : i + chunk]) for i in range(0, len(first), chunk)])
-        place = self.pair_places(first, second)
-        seen = place >= 0
-        return -self.STEP * np.where(seen, self.pairs[np.where(seen, place, 0)] if len(self.pairs) else 0, self.backoff[first].astype(np.int64) + self.words[second]).astype(np.float64)
-
-    def mapped(self) -> Trie:
-        """The same trie read from a memory-mapped scratch file, which goes with the last reference to it."""
-        parts = [*self.pointers.arrays(), *self.successors.arrays(), self.words, self.backoff, self.pairs]
-        places, at = [], 0
-        for p in parts:
-            places.append(at)
-            at += -(-max(1, p.nbytes) // 8) * 8
+    def look_up(self, contexts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Code of each n-gram, 0 where it isn't there."""
+        if not len(self.codes):
+            return np.zeros(len(keys), np.uint16)
+        place = self.places(contexts, keys)
+        return np.where(place >= 0, self.codes[np.maximum(place, 0)], 0).astype(self.codes.dtype)
+
+    def pack(self) -> bytes:
+        """As it lies in a file: a head of 64-bit numbers, then the arrays, each from a multiple of 8 bytes."""
+        parts = [*self.pointers.arrays(), *self.keys.arrays(), self.codes]
+        head = np.array([self.pointers.n, self.pointers.low_bits, self.keys.n, self.keys.low_bits, self.codes.itemsize, *[len(p) for p in parts]], np.int64)
+        return b"".join(p.tobytes().ljust(-(-p.nbytes // 8) * 8, b"\0") for p in (head, *parts))
+
+    @classmethod
+    def mapped(cls, packed: bytes) -> Level:
+        """A packed level read from a memory-mapped scratch file, which goes with the last reference to it."""
         with tempfile.TemporaryFile() as file:
-            file.truncate(at)
-            memory = np.memmap(file, np.uint8, "r+", shape=(at,))
-        views = [memory[a : a + p.nbytes].view(p.dtype) for a, p in zip(places, parts)]
-        for view, p in zip(views, parts):
-            view[:] = p
-        a, b = self.pointers, self.successors
-        return Trie(EliasFano(a.n, a.low_bits, *views[:3]), EliasFano(b.n, b.low_bits, *views[3:6]), *views[6:])
+            file.write(packed)
+            file.flush()
+            memory = np.memmap(file, np.uint8, "r")
+        head = memory[: 12 * 8].view(np.int64)
+        kinds, parts, at = [np.uint64, np.uint64, np.int64] * 2 + [np.dtype(f"u{head[4]}")], [], 12 * 8
+        for kind, n in zip(kinds, head[5:].tolist()):
+            size = n * np.dtype(kind).itemsize
+            parts.append(memory[at : at + size].view(kind))
+            at += -(-size // 8) * 8
+        return cls(EliasFano(int(head[0]), int(head[1]), *parts[:3]), EliasFano(int(head[2]), int(head[3]), *parts[3:6]), parts[6])
