@@ -31,6 +31,28 @@ def test_json_lines_from_folders_and_zips(spark, tmp_path):
         readers.source_specs(spark.createDataFrame([("s", "p", "", ""), ("s", "q", "", "")], "source_ref string, provider string, sha256 string, case_id string")).collect()
 
 
+def test_json_lines_of_files_in_many_splits(spark, tmp_path):
+    bodies = {"a b+c%20": "".join(f"line {i} é\r\n" for i in range(3000)), "open": "x\n\n\ny" * 700, "blank": "\n\n", "lone": "z", "only": "\n", "empty": ""}
+    (tmp_path / "d").mkdir()
+    with zipfile.ZipFile(tmp_path / "p.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in bodies.items():
+            (tmp_path / f"d/{name}.jsonl").write_bytes(body.encode())
+            z.writestr(f"restricted/interaction_sources/{name}.jsonl", body.encode())
+    want = []
+    for name, body in bodies.items():
+        lines = body.removesuffix("\n").split("\n") if body else []
+        want += [(name, i, x, hashlib.sha256(body.encode()).hexdigest()) for i, x in enumerate(lines, 1)]
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4096")
+        files = readers.json_lines(spark, str(tmp_path / "d"))
+        assert sorted(map(tuple, files.collect())) == sorted(want)
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(map(tuple, readers.zipped_lines(spark, str(tmp_path / "p.zip"), chunk=7, rows=100).collect())) == sorted(want)
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([('a "quoted"\nline', None, 3), ("b,c", "", 4)], "x string, y string, n int")
     writers.csv(df, str(tmp_path / "o"), ["x", "n", "missing"])

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import token
+from .shared import spool
 
 #: Folders that a tree scan leaves out.
 IGNORED_FOLDERS = (".git", ".private", "node_modules", "outputs", "tmp", "__pycache__")
@@ -24,15 +27,60 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1, inferSchema=False)
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source, line (from 1), raw, sha256 of every file under ``path``. A file is read whole, as its hash needs all of it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(path)
-    return _lines(files.select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("source"), "content"))
+def _whole_lines(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Lines of a stream of bytes, without their newlines."""
+    rest = b""
+    for chunk in chunks:
+        *lines, rest = (rest + chunk).split(b"\n")
+        yield from lines
+    if rest:
+        yield rest
+
 
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """source, line (from 1), raw, sha256 of every *.jsonl file under ``path``, of any size.
 
-def _lines(files: DataFrame) -> DataFrame:
-    rows = files.select("source", F.sha2("content", 256).alias("sha256"), F.posexplode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\n$", ""), "\n")).alias("i", "raw"))
-    return rows.select("source", (F.col("i") + 1).alias("line"), "raw", "sha256")
+    Files are read in splits, once, into a table whose lines know their place. A line's number is its
+    place in its split and the lines of the splits before; no window spans a file's lines. A digest takes
+    its bytes in order: one task a file, which streams the lines. An empty file has no lines.
+    """
+    scan = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    meta = F.col("_metadata")
+    rows = scan.select(meta["file_path"].alias("file"), meta["file_size"].alias("size"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    lines = spool(rows, "lines")
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    splits = splits.select("file", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    in_order = lines.select("file", "size", "split", "at", F.col("raw").cast("binary").alias("raw")).repartition("file").sortWithinPartitions("file", "split", "at").drop("split", "at")
+    digests = in_order.mapInArrow(_digests, "file string, sha256 string")
+    numbered = lines.join(splits.join(digests, "file"), ["file", "split"])  # by split: a large file stays spread
+    # A file's name is written as in an address; invalid bytes become U+FFFD.
+    source = F.regexp_extract(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), r"([^/]+)\.jsonl$", 1)
+    return numbered.select(source.alias("source"), (F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("line"), F.decode(F.col("raw").cast("binary"), "UTF-8").alias("raw"), "sha256")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest of each file from its lines in order; the file's size tells whether its last line ended."""
+    file, size, seen, digest = None, 0, 0, hashlib.sha256()
+
+    def told() -> pa.RecordBatch:
+        if seen < size:
+            digest.update(b"\n")
+        return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([digest.hexdigest()])], names=["file", "sha256"])
+
+    for batch in batches:
+        for name, length, raw in zip(batch.column("file"), batch.column("size"), batch.column("raw")):
+            if name.as_py() != file:
+                if file is not None:
+                    yield told()
+                file, size, seen, digest = name.as_py(), length.as_py(), 0, hashlib.sha256()
+            else:
+                digest.update(b"\n")
+                seen += 1
+            digest.update(raw.as_py())
+            seen += len(raw.as_py())
+    if file is not None:
+        yield told()
 
 
 def zip_members(spark: SparkSession, path: str, within: str = PACKED_SOURCES, suffix: str = ".jsonl") -> DataFrame:
@@ -53,10 +101,30 @@ def zip_members(spark: SparkSession, path: str, within: str = PACKED_SOURCES, su
     return files.mapInArrow(expand, "archive string, member string, content binary")
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Like ``json_lines`` for packed stations."""
-    members = zip_members(spark, path)
-    return _lines(members.select(F.regexp_extract("member", r"([^/]+)\.jsonl$", 1).alias("source"), "content"))
+def zipped_lines(spark: SparkSession, path: str, within: str = PACKED_SOURCES, chunk: int = 1 << 20, rows: int = 1 << 10) -> DataFrame:
+    """Like ``json_lines`` for packed stations. An archive is read whole, its members as streams: once for the digest, once for the lines."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                data = io.BytesIO(content.as_py())
+                if not zipfile.is_zipfile(data):
+                    continue  # told by ``archives``
+                with zipfile.ZipFile(data) as archive:
+                    for member in archive.namelist():
+                        if within not in f"/{member}" or not member.endswith(".jsonl"):
+                            continue
+                        with archive.open(member) as stream:
+                            digest = hashlib.file_digest(stream, "sha256").hexdigest()
+                        with archive.open(member) as stream:
+                            lines, at = _whole_lines(iter(lambda: stream.read(chunk), b"")), 0
+                            while part := list(islice(lines, rows)):
+                                n, source = len(part), member.rsplit("/", 1)[-1].removesuffix(".jsonl")
+                                yield pa.RecordBatch.from_arrays([pa.array([source] * n), pa.array(range(at + 1, at + n + 1), pa.int32()), pa.array([x.decode("utf-8", "replace") for x in part]), pa.array([digest] * n)], names=["source", "line", "raw", "sha256"])
+                                at += n
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
+    return files.mapInArrow(expand, "source string, line int, raw string, sha256 string")
 
 
 def workbook_texts(spark: SparkSession, path: str) -> DataFrame:
