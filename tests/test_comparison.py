@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from trailstat.functions import scalars as S
 from trailstat.operators import catalog, checks, cohort, effects, linkage, resample
-from trailstat.plans import comparison
+from trailstat.plans import comparison, release
+
+TABLES = "/root/testdata/sf0.001"
 
 ACTIONS = [1, 2, 3, 4, 5, 6, 8, 10, 11, 12] * 2
 CLASSES = "array<struct<order:int,name:string,class:string,completed:boolean,succeeded:boolean,target_ref:string>>"
@@ -150,6 +152,29 @@ def test_bootstrap(spark):
     assert abs(native["m"]["ci_low"] - low) < 0.05 and native["r"]["ci_low"] >= 0.5
 
 
+def test_intervals_of_equal_station_tables(spark, monkeypatch):
+    monkeypatch.setattr(resample.with_intervals, "__defaults__", (300, resample.SEED))
+    stations = comparison._stations(spark, TABLES).collect()
+    want = {}
+    for least, suffix in ((0, ""), (20, "_min20")):
+        for name, metric in {(r["analysis_set"], r["metric"]) for r in stations}:
+            used = [r for r in sorted(stations, key=lambda r: r["station_id"]) if (r["analysis_set"], r["metric"]) == (name, metric) and r["rows_per_condition"] >= least and r["effect"] is not None]
+            ratio = metric in effects.RATIO
+            values = [math.log(r["effect"]) if ratio else r["effect"] for r in used if not ratio or r["effect"] > 0]
+            if values:
+                ends = resample.seeded_interval(values, f"{name}{suffix}:{metric}", 300)
+                want[name + suffix, metric] = [math.exp(v) if ratio else v for v in ends]
+    tables = (comparison.equal_station_intervals(spark, TABLES), comparison.min_station_intervals(spark, TABLES))
+    got = {(r["analysis_set"], r["metric"]): [r["ci_low"], r["ci_high"]] for t in tables for r in t.collect()}
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-12 for k in got for x, y in zip(got[k], want[k]))
+    plain = {tuple(r) for r in release.catalog_views(spark, TABLES).collect()}
+    whole = release.catalog_with_intervals(spark, TABLES)
+    assert {tuple(r) for r in whole.drop("ci_low", "ci_high").collect()} == plain
+    ends = {r["source_record"]: (r["ci_low"], r["ci_high"]) for r in whole.filter("view IN ('equal_station', 'minimum_station_size')").collect()}
+    assert ends == {"/".join(k): tuple(round(x, 9) for x in v) for k, v in want.items()}
+    assert whole.filter("view NOT IN ('equal_station', 'minimum_station_size') AND ci_low IS NOT NULL").count() == 0
+
+
 def test_the_registered_bootstrap_draws_as_often_as_the_reference(monkeypatch):
     monkeypatch.setattr(comparison, "_stations", lambda *_: None)
     monkeypatch.setattr(resample, "exact_bootstrap", lambda rows, repetitions=resample.REPETITIONS: repetitions)

@@ -52,6 +52,11 @@ def exact_bootstrap(effects: DataFrame, repetitions: int = REPETITIONS, seed: in
     return few.groupBy("analysis_set", "metric").applyInPandas(interval, "analysis_set string, metric string, effect double, ci_low double, ci_high double")
 
 
+def with_intervals(table: DataFrame, effects: DataFrame, repetitions: int = REPETITIONS, seed: int = SEED) -> DataFrame:
+    """An equal-station ``table`` of ``effects`` with ci_low and ci_high, the exact bootstrap's for each (set, metric); one row a group, so the join is small."""
+    return table.join(exact_bootstrap(effects, repetitions, seed).drop("effect"), ["analysis_set", "metric"], "left")
+
+
 def native_bootstrap(effects: DataFrame, repetitions: int = 500) -> DataFrame:
     """The same interval with draws indexed by a hash, all in expressions: draw d of repetition r takes station md5(r:d) modulo n."""
     ratio = F.col("effect_scale").contains("ratio")

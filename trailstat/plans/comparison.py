@@ -141,6 +141,20 @@ def min_station_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(effects.equal_station(effects.at_least(_stations(spark, sf_dir), 20)), "effect", "descriptive_sign_p")
 
 
+@query("equal_station_intervals")
+def equal_station_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The equal-station table with its bootstrap intervals, whose seeded draws have no SQL."""
+    stations = spool(_stations(spark, sf_dir), "stations")
+    return resample.with_intervals(effects.equal_station(stations), stations)
+
+
+@query("min_station_intervals")
+def min_station_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the stations with at least 20 rows an arm."""
+    stations = spool(effects.at_least(_stations(spark, sf_dir), 20), "stations")
+    return resample.with_intervals(effects.equal_station(stations), stations)
+
+
 # Bins of actions, and the coarse ones of the later stations.
 BINS = (("1-2", 1, 2), ("3-5", 3, 5), ("6-10", 6, 10), ("11+", 11, None))
 COARSE_BINS = (("1-2", 1, 2), ("3-5", 3, 5), ("6+", 6, None))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json
 from ..functions.scalars import EPISODE_SALT, LINKAGE_SALT, effect
-from ..operators import boundary, checks, cohort, effects, linkage, manifest, screen
+from ..operators import boundary, checks, cohort, effects, linkage, manifest, resample, screen
 from ..operators.catalog import catalog
 from ..registry import query
 from ..sources import readers, writers
@@ -225,25 +227,40 @@ def _catalog_sql() -> str:
     return with_ + f"SELECT 'AGG-' || substr(sha256(view || '|' || source_record), 1, 12) AS record_id, view, source_record, {values} FROM ({parts})"
 
 
-@query("catalog_views", _catalog_sql())
-def catalog_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ten views in one long table, with exact counts where rates have them."""
+def _views(spark: SparkSession, sf_dir: str, equal: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """All ten views; ``equal`` makes the equal-station tables from station effects."""
     rows = spool(c._balanced(spark, sf_dir), "balanced")
     group = F.when(F.col("station_id").isin(*c.INITIAL), "initial").when(F.col("station_id") != "ST03", "subsequent")
     stations = spool(effects.arm_effects(rows, ["analysis_set", "station_id"], "median_ratio"), "stations")
     bins = spool(effects.action_bins(rows, ["analysis_set"], c.BINS), "bins")
     links = spool(linkage.link(c._linkable(spark, sf_dir)), "links")
     count = F.count(F.lit(1)).alias("effect")
-    views = {
+    return {
         "pooled": effects.arm_effects(rows, ["analysis_set"]),
         "station": stations,
         "archive_batch": effects.arm_effects(rows.withColumn("archive_group", group).filter("archive_group IS NOT NULL"), ["analysis_set", "archive_group"]),
-        "equal_station": effects.equal_station(stations),
-        "minimum_station_size": effects.equal_station(effects.at_least(stations, 20)),
+        "equal_station": equal(stations),
+        "minimum_station_size": equal(effects.at_least(stations, 20)),
         "action_count_bin": bins,
         "action_count_standardized": effects.standardized_gap(bins, ["analysis_set"]).withColumnRenamed("standardized_gap", "effect"),
         "linkage_window": linkage.window_curve(links),
         "linkage_tier": links.groupBy("evidence_tier").agg(count),
         "linkage_class": links.groupBy("mapping_class").agg(count),
     }
-    return c._rounded(catalog(views).select("record_id", "view", "source_record", *[F.col(v).cast("double").alias(v) for v in _VALUES]), *_VALUES)
+
+
+def _values(views: dict[str, DataFrame], *more: str) -> DataFrame:
+    values = (*_VALUES, *more)
+    return c._rounded(catalog(views).select("record_id", "view", "source_record", *[F.col(v).cast("double").alias(v) for v in values]), *values)
+
+
+@query("catalog_views", _catalog_sql())
+def catalog_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten views in one long table, with exact counts where rates have them."""
+    return _values(_views(spark, sf_dir, effects.equal_station))
+
+
+@query("catalog_with_intervals")
+def catalog_with_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ci_low and ci_high of the equal-station views, whose seeded draws have no SQL."""
+    return _values(_views(spark, sf_dir, lambda stations: resample.with_intervals(effects.equal_station(stations), stations)), "ci_low", "ci_high")
