@@ -164,8 +164,7 @@ def test_intervals_of_equal_station_tables(spark, monkeypatch):
             if values:
                 ends = resample.seeded_interval(values, f"{name}{suffix}:{metric}", 300)
                 want[name + suffix, metric] = [math.exp(v) if ratio else v for v in ends]
-    tables = (comparison.equal_station_intervals(spark, TABLES), comparison.min_station_intervals(spark, TABLES))
-    got = {(r["analysis_set"], r["metric"]): [r["ci_low"], r["ci_high"]] for t in tables for r in t.collect()}
+    got = {(r["analysis_set"], r["metric"]): [r["ci_low"], r["ci_high"]] for r in comparison.equal_station_intervals(spark, TABLES).collect()}
     assert got.keys() == want.keys() and all(abs(x - y) < 1e-12 for k in got for x, y in zip(got[k], want[k]))
     plain = {tuple(r) for r in release.catalog_views(spark, TABLES).collect()}
     whole = release.catalog_with_intervals(spark, TABLES)

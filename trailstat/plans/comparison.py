@@ -143,15 +143,9 @@ def min_station_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("equal_station_intervals")
 def equal_station_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The equal-station table with its bootstrap intervals, whose seeded draws have no SQL."""
-    stations = spool(_stations(spark, sf_dir), "stations")
-    return resample.with_intervals(effects.equal_station(stations), stations)
-
-
-@query("min_station_intervals")
-def min_station_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of the stations with at least 20 rows an arm."""
-    stations = spool(effects.at_least(_stations(spark, sf_dir), 20), "stations")
+    """The equal-station and minimum-size tables with their bootstrap intervals, whose seeded draws have no SQL."""
+    rows = _stations(spark, sf_dir)
+    stations = spool(rows.unionByName(effects.at_least(rows, 20)), "stations")
     return resample.with_intervals(effects.equal_station(stations), stations)
 
 
