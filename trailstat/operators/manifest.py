@@ -11,14 +11,20 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def entry_lines(entries: DataFrame) -> DataFrame:
+    """One text line an entry, in the order of the entries; one without a path is its hash alone."""
+    return entries.select(F.concat("sha256", F.coalesce(F.concat(F.lit("  "), "path"), F.lit(""))).alias("value"))
+
+
 def manifest_lines(entries: DataFrame) -> DataFrame:
     """One text line an entry, sorted by path."""
-    return entries.orderBy("path").select(F.concat("sha256", F.lit("  "), "path").alias("value"))
+    return entry_lines(entries.orderBy("path"))
 
 
 def parse_lines(lines: DataFrame, *more: str) -> DataFrame:
     """path, sha256 (and ``more`` columns) of lines (value); blank ones go."""
-    return lines.filter("trim(value) <> ''").select(*more, F.substring("value", 67, 1 << 20).alias("path"), F.substring("value", 1, 64).alias("sha256"))
+    path = F.when(F.length("value") > 64, F.substring("value", 67, 1 << 20))
+    return lines.filter("trim(value) <> ''").select(*more, path.alias("path"), F.substring("value", 1, 64).alias("sha256"))
 
 
 def difference(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -59,6 +59,22 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select(source.alias("source"), (F.col("at") - F.col("first") + F.col("before") + 1).cast("int").alias("line"), F.decode(F.col("raw").cast("binary"), "UTF-8").alias("raw"), "sha256")
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, place (from 1) of a text that Spark wrote in order, in parts of any number and size.
+
+    Parts count by their numbers. As in ``json_lines``, a line's place is that in its split and the lines
+    of the splits before, from a table of one row a split.
+    """
+    meta = F.col("_metadata")
+    scan = spark.read.option("lineSep", "\n").text(path)
+    lines = spool(scan.select(meta["file_name"].alias("file"), meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"), "value"), "lines")
+    splits = lines.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    before = F.sum("n").over(Window.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)\.txt$"), "split").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    splits = splits.select("file", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(splits, ["file", "split"]).select("value", (F.col("at") - F.col("first") + F.col("before") + 1).alias("place"))
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of each file from its lines in order; the file's size tells whether its last line ended."""
     file, size, seen, digest = None, 0, 0, hashlib.sha256()
